@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, language_id, license_scan, mixing, near_dedup, packing, quality, url_filter
+from . import chat, exact_dedup, katz_lm, language_id, license_scan, mixing, near_dedup, packing, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,12 +54,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_language_id, op3_license_scans, op4_quality_rules, op5_chat_formatting, op6_url_filters, op7_exact_dedup, op8_mixing, op10_minhash)
+    f.__name__: f for f in (op1_packing, op2_language_id, op3_license_scans, op4_quality_rules, op5_chat_formatting, op6_url_filters, op7_exact_dedup, op8_mixing, op9_lm_scoring, op10_minhash)
 }
 
 ORACLE_SQL: dict[str, str] = {
