@@ -20,6 +20,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -224,8 +225,6 @@ def judge(docs: DataFrame, labels: DataFrame, trees: Trees | None = None) -> Dat
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are kept; columns as they come."""
-    import pandas as pd
-
     model = learn(docs, labels)
 
     @F.pandas_udf("boolean")
