@@ -33,4 +33,4 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
-from . import relational, timeseries, windows  # noqa: E402, F401
+from . import analytics, relational, timeseries, versions, windows  # noqa: E402, F401

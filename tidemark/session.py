@@ -27,3 +27,13 @@ def session(master: str | None = None, app: str = "tidemark", **more: str) -> Sp
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: the one named in spark.checkpoint.dir, a temporary one only where none is set."""
+    import tempfile
+
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+    return context.getCheckpointDir().get()
