@@ -38,7 +38,10 @@ def asof_join(left: DataFrame, right: DataFrame, on: str, by: list[str] | None =
     both = lefts.unionByName(rights)
     group = [f"__k{i}" for i in range(len(by))]
     if slice is not None:
-        width = parse_width(slice).micros if temporal else int(slice)
+        # Integer times have no unit: slices of them are asked for as a number.
+        width = parse_width(slice).micros if temporal else int(slice) if str(slice).isdigit() else None
+        slice = None if width is None else slice
+    if slice is not None:
         both = both.withColumn("__slice", F.floor(F.col("__t") / F.lit(width)))
     sliced = group + (["__slice"] if slice is not None else [])
     w = Window.partitionBy(*sliced).orderBy("__t", "__side", "__seq").rowsBetween(Window.unboundedPreceding, 0)

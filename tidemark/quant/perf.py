@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.values import log_growth, ratio
 
-_UP_TO_NOW = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+def _up_to_now():
+    return Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def from_levels(levels: DataFrame) -> DataFrame:
@@ -17,9 +18,9 @@ def from_levels(levels: DataFrame) -> DataFrame:
 
 def equity(returns: DataFrame) -> DataFrame:
     """date, ret, level, peak, drawdown: level starts from 1, and so does the peak."""
-    total = F.sum(log_growth(F.col("ret"))).over(_UP_TO_NOW)
+    total = F.sum(log_growth(F.col("ret"))).over(_up_to_now())
     rows = returns.select("date", "ret", F.exp(total).alias("level"))
-    rows = rows.withColumn("peak", F.greatest(F.lit(1.0), F.max("level").over(_UP_TO_NOW)))
+    rows = rows.withColumn("peak", F.greatest(F.lit(1.0), F.max("level").over(_up_to_now())))
     return rows.withColumn("drawdown", F.col("level") / F.col("peak") - 1)
 
 
