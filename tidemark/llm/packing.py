@@ -102,6 +102,8 @@ class ByteBPE:
         self._ids = np.concatenate([self._ids, ids, *alone])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if not texts:
+            return []
         crowded = np.fromiter((self._crowded.search(t) is not None for t in texts), bool, len(texts))
         t = TextBlock([b"" if c else x for x, c in zip(texts, crowded.tolist(), strict=True)])
         spaces = np.flatnonzero(t.bytes == 32)
