@@ -45,6 +45,8 @@ def _letters() -> np.ndarray:
 
 def codewords(n: int) -> np.ndarray:
     """A row of +1 and -1 for each language."""
+    if n == 0:
+        return np.zeros((0, 0), dtype=np.int8)
     if n <= EXHAUSTIVE_UP_TO:
         splits = [[1, *rest] for rest in itertools.product((1, -1), repeat=n - 1) if -1 in rest]
         return np.array(splits, dtype=np.int8).reshape(len(splits), n).T

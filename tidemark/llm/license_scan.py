@@ -54,7 +54,7 @@ def words(text: Column) -> Column:
 
     lower() maps one other letter, the Kelvin sign, to ASCII; it is taken out of the way first.
     """
-    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("Å"))), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u212b"))), F.lit(WORD), F.lit(0))
 
 
 def document_frequencies(docs: DataFrame) -> tuple[int, dict[str, int]]:
