@@ -82,9 +82,9 @@ def factor_returns(t: Tables):
     return factor.factor_returns(_panel(t), 1).select("date", F.round("ret", 6).alias("ret"))
 
 
-@query(_WEIGHTS + ", u AS (SELECT date, avg(fwd_1) AS u FROM panel GROUP BY 1) SELECT round(covar_pop(ret, u) / var_pop(u), 6) AS beta, round(ln(power(1 + avg(ret) - covar_pop(ret, u) / var_pop(u) * avg(u), 252)), 4) AS log_alpha FROM rets JOIN u USING (date)")
+@query(_WEIGHTS + ", u AS (SELECT date, avg(fwd_1) AS u FROM panel GROUP BY 1) SELECT round(covar_pop(ret, u) / var_pop(u), 6) AS beta, round(avg(ret) - covar_pop(ret, u) / var_pop(u) * avg(u), 6) AS alpha FROM rets JOIN u USING (date)")
 def alpha_beta(t: Tables):
-    return factor.alpha_beta(_panel(t), 1).select(F.round("beta", 6).alias("beta"), F.round(F.ln(F.col("alpha") + 1), 4).alias("log_alpha"))
+    return factor.alpha_beta(_panel(t), 1, per_year=1).select(F.round("beta", 6).alias("beta"), F.round("alpha", 6).alias("alpha"))
 
 
 # --- performance: daily mean values as levels ---------------------------------------------------------------------
