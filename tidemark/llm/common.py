@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -35,6 +36,7 @@ def release(spark: SparkSession) -> None:
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.3)  # the cleaner works in the background
 
 
 def blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
@@ -67,17 +69,18 @@ def _rule64(n: int, seed: int) -> np.ndarray:
 _BYTE_VALUE = _rule64(256, 11) | np.uint64(1)
 _STEP = np.uint64(0xD1342543DE82EF95)
 _STEP_INVERSE = np.uint64(pow(0xD1342543DE82EF95, -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {}
+_LOW = 4096
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _powers or len(_powers["up"]) < n:
-        size = max(n, BLOCK_BYTES + 65536)
-        for name, step in (("up", _STEP), ("down", _STEP_INVERSE)):
-            table = np.full(size, step, dtype=np.uint64)
-            table[0] = 1
-            _powers[name] = np.multiply.accumulate(table)
-    return _powers["up"], _powers["down"]
+def _powers(step: np.uint64, n: int) -> np.ndarray:
+    table = np.full(n, step, dtype=np.uint64)
+    table[0] = 1
+    return np.multiply.accumulate(table)
+
+
+#: Powers below _LOW; those of _LOW times anything come from a second table, so that none is as long as a text.
+_UP, _DOWN = _powers(_STEP, _LOW), _powers(_STEP_INVERSE, _LOW)
+_UP_LOW, _DOWN_LOW = (_UP[-1:] * _STEP)[0], (_DOWN[-1:] * _STEP_INVERSE)[0]
 
 
 _IS_WHITE = np.zeros(256, dtype=bool)
@@ -117,11 +120,24 @@ class TextBlock:
         return np.searchsorted(self.doc_end, self.word_start, side="left")
 
     def range_hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        up, down = _power_table(len(self.bytes) + 1)
+        n = len(self.bytes)
         if self._prefix is None:
-            self._prefix = np.zeros(len(self.bytes) + 1, dtype=np.uint64)
-            np.cumsum(_BYTE_VALUE[self.bytes] * up[: len(self.bytes)], out=self._prefix[1:])
-        return mix64((self._prefix[end] - self._prefix[start]) * down[start] + (end - start).astype(np.uint64))
+            rows = -(-n // _LOW)
+            terms = np.zeros(rows * _LOW + 1, dtype=np.uint64)
+            np.take(_BYTE_VALUE, self.bytes, out=terms[1 : n + 1])
+            grid = terms[1:].reshape(rows, _LOW)
+            grid *= _UP
+            grid *= _powers(_UP_LOW, max(rows, 1))[:rows, None]
+            self._prefix = np.cumsum(terms, out=terms)
+        high = _powers(_DOWN_LOW, n // _LOW + 1)
+        h = self._prefix[end] - self._prefix[start]
+        h *= _DOWN[start & (_LOW - 1)]
+        h *= high[start >> 12]
+        h += (end - start).astype(np.uint64)
+        return mix64(h)
+
+    def forget_hashes(self) -> None:
+        self._prefix = None
 
     def word_hashes(self) -> np.ndarray:
         return self.range_hash(self.word_start, self.word_end)

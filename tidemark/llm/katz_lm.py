@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +47,9 @@ FOLDS, TEST_FOLD = 7, 2
 MIN_COUNT, GT_MAX = 2, 5
 HOT = 10_000
 #: Bytes of text in a block, and tokens for each partition of the key space.
-BLOCK, TOKENS_PER_PARTITION = 12 << 20, 4_000_000
+BLOCK, TOKENS_PER_PARTITION = 8 << 20, 4_000_000
+#: Size of the filter of pairs that count: fixed, so that it can go to every task; log2 of its bits.
+FILTER_BITS = 27
 _MASK = np.uint64((1 << 63) - 1)
 _END = np.uint64(0x1D2C3B4A59687706)
 WORD, ALPHA, PAIR, DOC = 0, 1, 2, 3
@@ -61,6 +64,7 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     tok, doc = np.full(n, _END, dtype=np.uint64), np.zeros(n, np.int64)
     at = np.arange(len(t.word_start)) + t.word_doc
     tok[at] = t.word_hashes() & _MASK
+    t.forget_hashes()
     ends = np.searchsorted(t.word_doc, np.arange(len(texts)), side="right") + np.arange(len(texts))
     doc[at], doc[ends] = t.word_doc, np.arange(len(texts))
     return tok, doc
@@ -94,6 +98,51 @@ class _Hot:
         return self.keys[at] == x, at
 
 
+class _Filter:
+    """Says no for most keys that aren't in a set, whatever the set's size; with more keys than bits it lets all pass."""
+
+    def __init__(self, bits: np.ndarray | None = None):
+        self.bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8) if bits is None else bits
+
+    @staticmethod
+    def _places(keys: np.ndarray) -> Iterator[np.ndarray]:
+        yield (keys >> np.uint64(63 - FILTER_BITS)).astype(np.int64)
+        yield (mix64(keys) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+    def add(self, keys: np.ndarray) -> None:
+        for at in self._places(keys):
+            np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+
+    def may_have(self, keys: np.ndarray) -> np.ndarray:
+        a, b = ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 for at in self._places(keys))
+        return (a & b).view(bool)
+
+
+def _filter_of(keys: DataFrame, fan: int = 8) -> _Filter:
+    """The filter of a column of keys: one for each task, joined by a tree of unions."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = _Filter()
+        for batch in batches:
+            f.add(np.array(batch.column(0)).view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([zlib.compress(f.bits.tobytes(), 1)], pa.binary())], names=["k", "bits"])
+
+    def union(table: pa.Table) -> pa.Table:
+        f = _Filter()
+        for x in table.column("bits"):
+            f.bits |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
+        return pa.table({"k": table.column("k")[:1], "bits": pa.array([zlib.compress(f.bits.tobytes(), 1)], pa.binary())})
+
+    rows, n = keys.mapInArrow(part, "k long, bits binary"), keys.rdd.getNumPartitions()
+    while n > 1:
+        rows = rows.groupBy(F.floor(F.col("k") / fan).alias("g")).applyInArrow(union, "k long, bits binary").withColumn("k", F.floor(F.col("k") / fan))
+        n = -(-n // fan)
+    out = _Filter()
+    for r in rows.collect():
+        out.bits |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
+    return out
+
+
 # --- the tasks --------------------------------------------------------------------------------------------------------
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +204,12 @@ def _count_pairs(table: pa.Table) -> pa.Table:
     return pa.table(dict(zip(("key", "h", "w", "c", "c_h"), (pa.array(x, pa.int64()) for x in columns), strict=True)))
 
 
-def _send_texts(partitions: int, hot_words: _Hot, hot_pairs: _Hot):
+def _send_texts(partitions: int, hot_words: _Hot, hot_pairs: _Hot, counting):
     """For each block and partition the keys that occur and their documents; and a row for the documents themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n_blocks = TaskContext.get().partitionId(), 0
+        pairs_that_count = _Filter(np.frombuffer(zlib.decompress(counting.value), np.uint8))
         for batch in batches:
             ids, held, texts = batch.column(0), batch.column(1), as_bytes(batch.column(2))
             for i0, j0 in blocks(texts, BLOCK):
@@ -168,6 +218,8 @@ def _send_texts(partitions: int, hot_words: _Hot, hot_pairs: _Hot):
                     block, n_blocks = (task << 24) + n_blocks, n_blocks + 1
                     tok, doc = tokens(texts[i:j])
                     at, key = pairs(tok, doc)
+                    some = pairs_that_count.may_have(key)
+                    at, key = at[some], key[some]
                     sums = np.zeros((3, j - i))  # log10 P1, all else, known tokens
                     rows: list[tuple] = []
                     for kind, k, d, hot in ((WORD, tok, doc, hot_words), (PAIR, key, doc[at], hot_pairs)):
@@ -267,6 +319,14 @@ def _written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _drop(written: DataFrame) -> None:
+    """Remove the files of a table that nothing reads any more."""
+    spark = written.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(written.inputFiles()[0].rsplit("/", 1)[0]) if written.inputFiles() else None
+    if path is not None:
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _packed(df: DataFrame, kind: int, value: str, partitions: int) -> DataFrame:
     """part, kind, a, b: keys and values of df as arrays, some for each task and partition."""
 
@@ -318,8 +378,8 @@ def score(docs: DataFrame, folds: int = FOLDS, test_fold: int = TEST_FOLD) -> Da
     # 2. Pairs that count, with discounts and back-off weights.
     sent = training.mapInArrow(_send_pairs(partitions, _Hot([r["key"] for r in hot])), "part int, h binary, runs binary, w binary, n binary")
     counted = _written(sent.groupBy("part").applyInArrow(_count_pairs, "key long, h long, w long, c long, c_h long"))
-    release(spark)
     n_r = {r["h"]: r["n"] for r in counted.where("w = -1").groupBy("h").agg(F.sum("c").alias("n")).collect()}
+    release(spark)  # Spark keeps what the last job used: only now the packed pairs can go
     discount = good_turing(n_r)
     d = F.lit(1.0)
     for r, x in discount.items():
@@ -330,17 +390,20 @@ def score(docs: DataFrame, folds: int = FOLDS, test_fold: int = TEST_FOLD) -> Da
     # A history's seen words: 1 - sum p is what the discounts leave, 1 - sum p1 what P1 gives to all others.
     alpha = seen.groupBy("h").agg(((1 - F.sum("p")) / (1 - F.sum("p1"))).alias("alpha")).select("h", F.log10(F.greatest("alpha", F.lit(1e-12))).alias("alpha"))
     alpha = _written(alpha)
-    gains = _written(seen.join(alpha, "h").select("key", "c", (F.log10("p") - F.log10("p1") - F.col("alpha")).alias("gain")))
     release(spark)
+    gains = _written(seen.join(alpha, "h").select("key", "c", (F.log10("p") - F.log10("p1") - F.col("alpha")).alias("gain")))
     hot_alpha = {r["key"]: r["alpha"] for r in alpha.join(hot_count, "h").select(F.col("h").alias("key"), "alpha").collect()}
     hot_words = _Hot([r["key"] for r in hot], p=[math.log10((r["c"] + 1) / mass) for r in hot], more=[hot_alpha.get(r["key"], 0.0) for r in hot])
     hot_gains = gains.where(F.col("c") >= least_hot).collect()  # likewise fewer than HOT rows
     hot_pairs = _Hot([r["key"] for r in hot_gains], more=[r["gain"] for r in hot_gains])
 
-    # 3. Texts meet the tables.
+    # 3. Texts meet the tables; most pairs that don't count stay behind.
+    _drop(counted)
+    counting = spark.sparkContext.broadcast(zlib.compress(_filter_of(gains.select("key")).bits.tobytes(), 1))
+    release(spark)
     table = _packed(words.select("key", F.log10((F.col("c") + 1) / F.lit(float(mass))).alias("v")), WORD, "v", partitions)
     table = table.unionByName(_packed(alpha.select(F.col("h").alias("key"), "alpha"), ALPHA, "alpha", partitions)).unionByName(_packed(gains, PAIR, "gain", partitions))
-    texts = rows.mapInArrow(_send_texts(partitions, hot_words, hot_pairs), "part int, kind int, block long, a binary, b binary, c binary")
+    texts = rows.mapInArrow(_send_texts(partitions, hot_words, hot_pairs, counting), "part int, kind int, block long, a binary, b binary, c binary")
     sums = texts.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(_look_up(math.log10(1 / mass)), _SUMS)
     by_doc = sums.groupBy("block", "place").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("more").alias("more"))
     return by_doc.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("more")).alias("score"))
