@@ -7,13 +7,13 @@ are cut into bands of ROWS values; documents that share a band are candidates.
 
 * Documents with equal sets form a class; only its smallest doc_id goes on.
 * A bucket (one band's value) of up to SMALL members gives all its pairs, each at the first band
-  that the two share. A larger one gives the pairs with its centre, the member nearest
-  to the bucket's most frequent signature values.
+  that the two share. A larger one gives the pairs with its centre, the member that meets most
+  others in all its buckets.
 * Links are confirmed on the full sets, components found by alternating star contractions.
-* Then large buckets whose members are still in several components give the
-  pairs across those, so that no candidate link is missed, and components are found anew.
+* Members of large buckets that are still in several components are compared by what sets them apart from their centre (see
+  `across_components`), so that no candidate link is missed, and components are found anew.
 
-Pairs whose signatures agree in under SCREEN of their places are not confirmed: at a similarity of 0.85 that is
+Pairs of small buckets whose signatures agree in under SCREEN of their places are not confirmed: at a similarity of 0.85 that is
 over 6 standard deviations off. At 0.85 two documents share no band with a probability of (1 - 0.85^4)^32 = 5e-11.
 
 Defined cases: null and empty texts have no shingle and no link, each its own component;
@@ -38,6 +38,7 @@ HASHES, ROWS = 64, 4
 VALUES = 2 * HASHES
 BANDS = VALUES // ROWS
 SMALL, SCREEN = 8, 0.65
+FAR, FAR_BANDS = 0.4, 8
 #: Longest list of ids to broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 _FACTORS = (mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -120,86 +121,144 @@ def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _bucket_pairs(ids: np.ndarray, sigs: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate pairs of one bucket in the first round."""
-    m = len(ids)
-    if m <= SMALL:
-        x, y = np.triu_indices(m, 1)
-        bands = (sigs[x] == sigs[y]).reshape(len(x), BANDS, ROWS).all(axis=2)
-        take = (np.argmax(bands, axis=1) == band) & (_agreeing(sigs[x], sigs[y]) >= SCREEN)
-        return ids[x[take]], ids[y[take]]
-    middle = np.empty(VALUES, dtype=np.uint16)
-    for v in range(VALUES):
-        values, counts = np.unique(sigs[:, v], return_counts=True)
-        middle[v] = values[np.argmax(counts)]
-    near = _agreeing(sigs, middle)
-    c = int(np.lexsort((ids, -near))[0])
-    take = (_agreeing(sigs, sigs[c]) >= SCREEN) & (ids != ids[c])
-    return np.minimum(ids[take], ids[c]), np.maximum(ids[take], ids[c])
-
-
-def _cross_pairs(ids: np.ndarray, sigs: np.ndarray, comp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs across the components within one bucket, each member outside the largest against all others."""
-    names, which, counts = np.unique(comp, return_inverse=True, return_counts=True)
-    if len(names) == 1:
-        return
-    for i in np.flatnonzero(which != np.argmax(counts)):
-        other = np.flatnonzero((comp != comp[i]) & ((which == np.argmax(counts)) | (ids > ids[i])))
-        other = other[_agreeing(sigs[other], sigs[i]) >= SCREEN]
-        yield np.minimum(ids[other], ids[i]), np.maximum(ids[other], ids[i])
-
-
-def _by_bucket(across: bool):
-    """Rows sorted by (band, key) to candidate pairs, bucket by bucket; a bucket may span batches."""
-
-    def emit(part: dict[str, list]) -> Iterator[pa.RecordBatch]:
-        ids = np.concatenate(part["id"])
-        sigs = np.frombuffer(b"".join(part["sig"]), dtype=np.uint16).reshape(-1, VALUES)
-        key = np.concatenate(part["key"])
-        band = np.concatenate(part["band"])
-        comp = np.concatenate(part["comp"]) if across else None
-        edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (band[1:] != band[:-1])))
-        xs, ys = [], []
-        for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(ids)], strict=True):
-            for x, y in _cross_pairs(ids[i:j], sigs[i:j], comp[i:j]) if across else [_bucket_pairs(ids[i:j], sigs[i:j], int(band[i]))]:
-                xs.append(x)
-                ys.append(y)
-        x, y = (np.concatenate(p) if p else np.zeros(0, np.int64) for p in (xs, ys))
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["band", "key", "id", "sig", *(["comp"] if across else [])]
-        held: dict[str, list] = {n: [] for n in names}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = {n: batch.column(k).to_pylist() if n == "sig" else batch.column(k).to_numpy(zero_copy_only=False) for k, n in enumerate(names)}
-            # All but the last bucket of what has come so far are whole.
-            last = np.flatnonzero((cols["key"] != cols["key"][-1]) | (cols["band"] != cols["band"][-1]))
-            at = int(last[-1]) + 1 if len(last) else 0
-            same = not held["key"] or (held["key"][-1][-1] == cols["key"][0] and held["band"][-1][-1] == cols["band"][0])
-            if held["key"] and not same:
-                yield from emit(held)
-                held = {n: [] for n in names}
-            if at:
-                for n in names:
-                    held[n].extend(cols[n][:at]) if n == "sig" else held[n].append(cols[n][:at])
-                yield from emit(held)
-                held = {n: [] for n in names}
-            for n in names:
-                held[n].extend(cols[n][at:]) if n == "sig" else held[n].append(cols[n][at:])
-        if held["key"]:
-            yield from emit(held)
-
-    return run
+    """All pairs of a small bucket that share no earlier band."""
+    x, y = np.triu_indices(len(ids), 1)
+    bands = (sigs[x] == sigs[y]).reshape(len(x), BANDS, ROWS).all(axis=2)
+    take = (np.argmax(bands, axis=1) == band) & ((sigs[x] == sigs[y]).mean(axis=1) >= SCREEN)
+    return ids[x[take]], ids[y[take]]
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (x, y) whose full shingle sets have at least that Jaccard index."""
-    wanted = cut(pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct())
+def _small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (band, key, id, sig) sorted by (band, key) to candidate pairs; a bucket may span batches."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pa.concat_batches([held, batch])
+        if not rows.num_rows:
+            continue
+        band, key = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+        # The last bucket may go on in the next batch.
+        last = np.flatnonzero((key != key[-1]) | (band != band[-1]))
+        at = int(last[-1]) + 1 if len(last) else 0
+        yield _pairs_of(rows.slice(0, at))
+        held = rows.slice(at)
+    if held is not None:
+        yield _pairs_of(held)
+
+
+def _pairs_of(rows: pa.RecordBatch) -> pa.RecordBatch:
+    band, key, ids = (rows.column(k).to_numpy() for k in range(3))
+    sigs = np.frombuffer(b"".join(rows.column(3).to_pylist()), dtype=np.uint16).reshape(-1, VALUES)
+    edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (band[1:] != band[:-1]))) if len(key) else np.zeros(0, np.int64)
+    found = [_bucket_pairs(ids[i:j], sigs[i:j], int(band[i])) for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(ids)], strict=False)]
+    x, y = (np.concatenate(p) for p in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
+
+
+def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """id, keys: the shingle sets of the documents with these ids."""
+    wanted = cut(ids.select("id").distinct())
     # A list of ids goes to the texts while it is short, else they meet by a shuffle.
     few = wanted.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"] == wanted["id"], "left_semi").dropDuplicates(["doc_id"])
-    sets = texts.mapInArrow(_set_rows, "id long, keys binary")
+    return texts.mapInArrow(_set_rows, "id long, keys binary")
+
+
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (centre, id, keys of both) to the set's size and its difference from the centre's: added keys first, then
+    removed; and a bit for each of 256 classes of keys that the difference has."""
+    for batch in batches:
+        size, centre_size, diff, bits = [], [], [], np.zeros((batch.num_rows, 32), np.uint8)
+        for own, of_centre in zip(batch.column("keys").to_pylist(), batch.column("centre_keys").to_pylist(), strict=True):
+            a, c = np.frombuffer(own, np.uint64), np.frombuffer(of_centre, np.uint64)
+            size.append(len(a))
+            centre_size.append(len(c))
+            d = np.concatenate([np.setdiff1d(a, c, True), np.setdiff1d(c, a, True)])
+            bit = np.unique(d >> np.uint64(56)).astype(np.int64)
+            np.bitwise_or.at(bits[len(diff)], bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+            diff.append(d.view(np.int64))
+        words = bits.view(np.int64)
+        columns = [batch.column("centre"), batch.column("id"), batch.column("comp"), batch.column("minor"), pa.array(size, pa.int64()), pa.array(centre_size, pa.int64()), pa.array(diff, pa.list_(pa.int64())), *[pa.array(words[:, k]) for k in range(4)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["centre", "id", "comp", "minor", "size", "centre_size", "diff", "s0", "s1", "s2", "s3"])
+
+
+def _stars(large: DataFrame, shared: DataFrame) -> DataFrame:
+    """(id, centre): the members of large buckets, each with the centre of its bucket.
+
+    That is the member that meets most others over all its buckets, an original among its copies. Where
+    it is missing from a bucket, the best of the bucket is a copy; its own best centre stands in.
+    """
+    meets = shared.groupBy("id").agg(F.sum("members").alias("meets"))
+    best = lambda name: F.max_by("id", F.struct("meets", -F.col("id"))).alias(name)
+    centres = cut(large.join(meets, "id").groupBy("band", "key").agg(best("first"), F.max("meets").alias("first_meets")))
+    members = large.select("band", "key", "id").join(centres, ["band", "key"])
+    own = cut(members.groupBy("id").agg(F.max_by("first", F.struct("first_meets", -F.col("first"))).alias("best")))
+    step = lambda df, a, b: df.join(own.select(F.col("id").alias(a), F.col("best").alias(b)), a)
+    centre_of = cut(step(step(centres.select("first").distinct(), "first", "second"), "second", "centre").select("first", "centre"))
+    return members.join(centre_of, "first").where("id != centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("bands"))
+
+
+def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, centre, bands, sig, centre_sig) to the share of signature places that agree."""
+    for batch in batches:
+        a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, VALUES) for k in (3, 4))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((a == b).mean(axis=1) if len(a) else np.zeros(0))], names=["id", "centre", "bands", "agreement"])
+
+
+def _near_stars(stars: DataFrame, sigs: DataFrame) -> DataFrame:
+    """(id, centre) without members that are far from a centre and just share a passage with it.
+
+    A linked pair shares each band with probability 0.52. Unless a member is far from its centre in over FAR_BANDS of its
+    bands, its links show in the others but for a probability of 0.48^(BANDS - FAR_BANDS) = 2e-8; else it stays.
+    """
+    both = stars.join(sigs.select("id", "sig"), "id").join(sigs.select(F.col("id").alias("centre"), F.col("sig").alias("centre_sig")), "centre")
+    rows = both.select("id", "centre", "bands", "sig", "centre_sig").mapInArrow(_agreement, "id long, centre long, bands long, agreement double")
+    far = F.sum(F.when(F.col("agreement") < FAR, F.col("bands")).otherwise(0)).over(Window.partitionBy("id"))
+    return rows.withColumn("far", far).where((F.col("agreement") >= FAR) | (F.col("far") > FAR_BANDS)).select("id", "centre")
+
+
+def across_components(stars: DataFrame, found: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs (x, y) between different components among the members of the same stars (id, centre).
+
+    With D the difference of a set from its centre's, two sets differ by |Di| + |Dj| - 2 |Di & Dj|; they are linked
+    if that is at most t = (1 - s) / (1 + s) * (|i| + |j|). A member outside the centre's component ("minor") is itself
+    farther than that from the centre, so a link of its needs |Di & Dj| >= (|Di| + |Dj| - t) / 2 > 0. By the prefix principle the two
+    then share one of the first |D| - that + 1 elements of D in one order, and what copies add
+    of their own, the rarest, comes first. So only members that share such an element meet.
+    """
+    comp = found.select(F.col("id").alias("of"), "component")
+    members = stars.unionByName(stars.select(F.col("centre").alias("id"), "centre")).distinct()
+    members = members.join(comp, F.col("id") == F.col("of"), "left").select("centre", "id", F.coalesce("component", "id").alias("comp"))
+    members = members.join(comp, F.col("centre") == F.col("of"), "left").select("centre", "id", "comp", (F.col("comp") != F.coalesce("component", "centre")).alias("minor"))
+    members = cut(members)
+    torn = members.where("minor").select("centre").distinct()
+    members = members.join(torn, "centre", "left_semi")
+    sets = _sets_of(members, docs)
+    both = members.join(sets, "id").join(sets.select(F.col("id").alias("centre"), F.col("keys").alias("centre_keys")), "centre")
+    rows = both.select("centre", "id", "comp", "minor", "keys", "centre_keys").mapInArrow(_differences, "centre long, id long, comp long, minor boolean, size long, centre_size long, diff array<long>, s0 long, s1 long, s2 long, s3 long")
+    rows = cut(rows)
+    # Sizes of linked sets are within the threshold of each other, and within those of the star.
+    sizes = rows.groupBy("centre").agg(F.min("size").alias("least"), F.max("size").alias("most"))
+    rows = rows.join(sizes, "centre")
+    part = (1 - threshold) / (1 + threshold)
+    n, size = F.size("diff"), F.col("size")
+    t = F.floor(part * (size + F.least(F.col("most"), size / threshold)) + 1e-9)
+    minor_n = F.floor(part * (F.greatest(F.col("least"), size * threshold) + F.col("centre_size")) + 1e-9) + 1
+    as_minor = n - F.greatest(F.lit(1), n - t) + 1
+    as_other = n - F.greatest(F.lit(1), F.ceil((n + minor_n - t) / 2)) + 1
+    prefix = lambda length: F.explode(F.slice("diff", F.lit(1), F.greatest(length, F.lit(0)).cast("int")))
+    side = lambda i, length: [F.col("id").alias(i), F.col("comp").alias(f"c{i}"), F.col("size").alias(f"n{i}"), *[F.col(f"s{k}").alias(f"{i}{k}") for k in range(4)], prefix(length).alias("e")]
+    a, b = rows.where("minor").select("centre", *side("x", as_minor)).alias("a"), rows.select("centre", *side("y", as_other)).alias("b")
+    # The differences themselves differ at least in as many keys as their classes do: what can't be a link doesn't leave the join.
+    percent = round(100 * threshold)
+    apart = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(4)), F.lit(0))
+    may_link = (F.col("cx") != F.col("cy")) & (apart * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent))
+    both = a.join(b, (F.col("a.centre") == F.col("b.centre")) & (F.col("a.e") == F.col("b.e")) & may_link)
+    return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (x, y) whose full shingle sets have at least that Jaccard index."""
+    sets = _sets_of(pairs.select(F.explode(F.array("x", "y")).alias("id")), docs)
     a, b = sets.select(F.col("id").alias("x"), F.col("keys").alias("xs")), sets.select(F.col("id").alias("y"), F.col("keys").alias("ys"))
     percent = round(100 * threshold)
 
@@ -252,15 +311,14 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     part = [F.struct(F.lit(k).alias("band"), F.xxhash64(F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)).alias("key")) for k in range(BANDS)]
     keys = firsts.select("id", F.explode(F.array(*part)).alias("at")).select("at.band", "at.key", "id")
     members = F.count(F.lit(1)).over(Window.partitionBy("band", "key"))
-    shared = cut(keys.withColumn("members", members).where("members > 1")).join(firsts, "id")
-    in_order = lambda df, *cols: df.select("band", "key", "id", "sig", *cols).repartition("band", "key").sortWithinPartitions("band", "key", "id")
-    pairs = cut(in_order(shared).mapInArrow(_by_bucket(False), "x long, y long").distinct())
+    shared = cut(keys.withColumn("members", members).where("members > 1"))
+    small = shared.where(F.col("members") <= SMALL).join(firsts, "id").select("band", "key", "id", "sig")
+    small = small.repartition("band", "key").sortWithinPartitions("band", "key", "id").mapInArrow(_small_buckets, "x long, y long")
+    stars = cut(_near_stars(_stars(shared.where(F.col("members") > SMALL), shared), firsts))
+    pairs = cut(small.unionByName(stars.select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y"))).distinct())
     links = cut(confirmed(pairs, rows, threshold))
     found = components(links)
-    large = shared.where(F.col("members") > SMALL).join(found, "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    mixed = large.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("band", "key")
-    more = in_order(large.join(mixed, ["band", "key"], "left_semi"), "comp").mapInArrow(_by_bucket(True), "x long, y long").distinct()
-    more = cut(more.join(pairs, ["x", "y"], "left_anti"))
+    more = cut(across_components(stars, found, rows, threshold))
     if not more.isEmpty():
         found = components(cut(links.unionByName(confirmed(more, rows, threshold))))
     release(docs.sparkSession)
