@@ -87,6 +87,20 @@ def test_near_groups(spark, frame, odd_rows):
     assert sorted((tuple(r) for r in N.near_groups(frame(rows)).collect()), key=str) == plain_near(rows)
 
 
+def test_near_pairs_that_share_a_passage(spark, frame):
+    """Pairs whose first common band lies in the large bucket of a passage that all documents share."""
+    draw = random.Random(8)
+    passage, texts = [f"p{i}" for i in range(110)], []
+    for i in range(400):
+        text = passage + [f"w{draw.randrange(10**6)}" for _ in range(110)]
+        texts.append(" ".join(text))
+        if i < 250:
+            text[draw.randrange(115, 215)] = "changed"
+            texts.append(" ".join(text))
+    rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
+    assert sorted((tuple(r) for r in N.near_groups(frame(rows)).collect()), key=str) == plain_near(rows)
+
+
 def test_near_dedup_keeps_one(spark, frame):
     rows = [(i, t, "en", "a") for i, t in enumerate(family(20, 100, 0, 4))] + [(50, "other words entirely for this one", "en", "b"), (50, "other words entirely for this one", "en", "b")]
     docs = frame(rows)

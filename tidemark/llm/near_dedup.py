@@ -7,7 +7,7 @@ are cut into bands of ROWS values; documents that share a band are candidates.
 
 * Documents with equal sets form a class; only its smallest doc_id goes on.
 * A bucket (one band's value) of up to SMALL members gives all its pairs, each at the first band
-  that the two share. A larger one gives the pairs with its centre, the member that meets most
+  where the two share such a small bucket. A larger one gives the pairs with its centre, the member that meets most
   others in all its buckets.
 * Links are confirmed on the full sets, components found by alternating star contractions.
 * Members of large buckets that are still in several components are compared by what sets them apart from their centre (see
@@ -38,7 +38,7 @@ HASHES, ROWS = 64, 4
 VALUES = 2 * HASHES
 BANDS = VALUES // ROWS
 SMALL, SCREEN = 8, 0.65
-FAR, FAR_BANDS = 0.4, 8
+FAR, FAR_BANDS = 0.4, 4
 #: Longest list of ids to broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 _FACTORS = (mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -120,16 +120,17 @@ def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=-1)
 
 
-def _bucket_pairs(ids: np.ndarray, sigs: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of a small bucket that share no earlier band."""
+def _bucket_pairs(ids: np.ndarray, sigs: np.ndarray, large: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of a small bucket that share no earlier small one; large: bits of the bands where a member's bucket is large."""
     x, y = np.triu_indices(len(ids), 1)
     bands = (sigs[x] == sigs[y]).reshape(len(x), BANDS, ROWS).all(axis=2)
+    bands &= (large[x][:, None] >> np.arange(BANDS)) & 1 == 0
     take = (np.argmax(bands, axis=1) == band) & ((sigs[x] == sigs[y]).mean(axis=1) >= SCREEN)
     return ids[x[take]], ids[y[take]]
 
 
 def _small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (band, key, id, sig) sorted by (band, key) to candidate pairs; a bucket may span batches."""
+    """Rows (band, key, id, sig, large) sorted by (band, key) to candidate pairs; a bucket may span batches."""
     held = None
     for batch in batches:
         rows = batch if held is None else pa.concat_batches([held, batch])
@@ -148,8 +149,9 @@ def _small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _pairs_of(rows: pa.RecordBatch) -> pa.RecordBatch:
     band, key, ids = (rows.column(k).to_numpy() for k in range(3))
     sigs = np.frombuffer(b"".join(rows.column(3).to_pylist()), dtype=np.uint16).reshape(-1, VALUES)
+    large = rows.column(4).to_numpy()
     edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (band[1:] != band[:-1]))) if len(key) else np.zeros(0, np.int64)
-    found = [_bucket_pairs(ids[i:j], sigs[i:j], int(band[i])) for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(ids)], strict=False)]
+    found = [_bucket_pairs(ids[i:j], sigs[i:j], large[i:j], int(band[i])) for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(ids)], strict=False)]
     x, y = (np.concatenate(p) for p in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
 
@@ -208,7 +210,8 @@ def _near_stars(stars: DataFrame, sigs: DataFrame) -> DataFrame:
     """(id, centre) without members that are far from a centre and just share a passage with it.
 
     A linked pair shares each band with probability 0.52. Unless a member is far from its centre in over FAR_BANDS of its
-    bands, its links show in the others but for a probability of 0.48^(BANDS - FAR_BANDS) = 2e-8; else it stays.
+    bands, it leaves the stars of these; else it stays. A pair so loses up to FAR_BANDS bands by either member, and its link shows in
+    the others, small buckets or stars, but for a probability of 0.48^(BANDS - 2 * FAR_BANDS) = 2e-8.
     """
     both = stars.join(sigs.select("id", "sig"), "id").join(sigs.select(F.col("id").alias("centre"), F.col("sig").alias("centre_sig")), "centre")
     rows = both.select("id", "centre", "bands", "sig", "centre_sig").mapInArrow(_agreement, "id long, centre long, bands long, agreement double")
@@ -312,7 +315,8 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keys = firsts.select("id", F.explode(F.array(*part)).alias("at")).select("at.band", "at.key", "id")
     members = F.count(F.lit(1)).over(Window.partitionBy("band", "key"))
     shared = cut(keys.withColumn("members", members).where("members > 1"))
-    small = shared.where(F.col("members") <= SMALL).join(firsts, "id").select("band", "key", "id", "sig")
+    large = shared.where(F.col("members") > SMALL).groupBy("id").agg(F.expr("bit_or(shiftleft(1L, band))").alias("large"))
+    small = shared.where(F.col("members") <= SMALL).join(firsts, "id").join(large, "id", "left").select("band", "key", "id", "sig", F.coalesce("large", F.lit(0).cast("long")).alias("large"))
     small = small.repartition("band", "key").sortWithinPartitions("band", "key", "id").mapInArrow(_small_buckets, "x long, y long")
     stars = cut(_near_stars(_stars(shared.where(F.col("members") > SMALL), shared), firsts))
     pairs = cut(small.unionByName(stars.select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y"))).distinct())
