@@ -111,3 +111,17 @@ def test_license_scan(spark, frame, odd_rows):
     plain = sorted((tuple(r) for r in out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()), key=str)
     assert plain == sorted(((d, *plain_scan(t)) for d, t, *_ in rows), key=str)
     assert S.scan(frame([]), "doc_id").collect() == []
+
+
+def test_license_scan_finds_all_notices(spark, frame):
+    whole = " and then ".join(notice for _, notice, _ in S.TEMPLATES)
+    found = S.scan(frame([(1, whole, "en", "a"), (2, " ".join(["filler"] * 50), "en", "a")]), "doc_id")
+    got = {r["doc_id"]: r for r in found.collect()}
+    at, want = 0, []
+    for label, notice, _ in S.TEMPLATES:
+        n = len(notice.split())
+        want.append((label, at, at + n))
+        at += n + 2
+    spans = {(s["label"], s["start"], s["end"]): s["score"] for s in got[1]["spans"]}
+    assert set(want) <= set(spans) and all(spans[w] == pytest.approx(1) for w in want)
+    assert {label for label, _, _ in S.TEMPLATES} <= set(got[1]["labels"].split(",")) and not got[2]["spans"]

@@ -2,7 +2,7 @@
 
 Templates are short licence notices. For every word of theirs the document frequency is
 counted over all texts; a template is indexed under its ANCHORS rarest words, each
-posting being (template, position). A file looks up the rarest indexed words that it holds,
+posting being (template, position). A file looks up all indexed words that it holds,
 turns each place into the template's would-be start there, and intersects:
 a start that two anchors agree on is a candidate. It is then compared word by word; the
 score is the matched share of the template's IDF weight, and the template's label counts
@@ -45,8 +45,8 @@ TEMPLATES = (
     ("epl", "made available under the terms of the eclipse public license", "eclipse public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
 )
-#: Index terms a template, anchors a file looks up, least matched share of IDF weight.
-ANCHORS, LOOKUPS, LEAST = 4, 16, 0.7
+#: Index terms a template, least matched share of IDF weight.
+ANCHORS, LEAST = 4, 0.7
 
 
 def words(text: Column) -> Column:
@@ -111,23 +111,20 @@ def scan(docs: DataFrame, *carry) -> DataFrame:
     idf, postings = build_index(*document_frequencies(docs))
     wanted = sorted(set(postings) | {p.split()[0] for p in BASE})
     index = F.create_map(*[x for w, ps in sorted(postings.items()) for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p")) for t, p in ps]))])
-    rank = F.create_map(*[x for i, w in enumerate(sorted(postings, key=lambda w: (-idf[w], w))) for x in (F.lit(w), F.lit(i))])
 
     rows = docs.select(*carry, words(F.col("text").cast("string")).alias("words"))
     places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).isin(wanted))
     rows = rows.withColumn("hits", F.when(F.size("words") > 0, places).otherwise(F.array().cast("array<int>")))
 
     based = F.filter(F.transform("hits", lambda i: F.struct(i.alias("i"), _base_label(i).alias("label"))), lambda x: x["label"].isNotNull())
-    # The rarest indexed words of the file, and where they stand.
-    own = F.array_distinct(F.transform("hits", lambda i: F.get("words", i)))
-    anchors = F.slice(F.array_sort(F.filter(F.transform(own, lambda w: F.try_element_at(rank, w)), lambda x: x.isNotNull())), 1, LOOKUPS)
-    rows = rows.withColumns({"based": based, "anchors": anchors})
+    # Where the file's indexed words stand.
+    anchored = F.filter("hits", lambda i: F.get("words", i).isin(sorted(postings)))
+    rows = rows.withColumns({"based": based, "anchored": anchored})
 
     def starts(i: Column) -> Column:
         return F.transform(F.try_element_at(index, F.get("words", i)), lambda p: F.struct(p["t"].alias("t"), (i - p["p"]).alias("s")))
 
-    anchored = F.filter("hits", lambda i: F.array_contains("anchors", F.try_element_at(rank, F.get("words", i))))
-    rows = rows.withColumn("starts", F.when(F.size("anchors") > 1, F.array_sort(F.flatten(F.transform(anchored, starts)))))
+    rows = rows.withColumn("starts", F.when(F.size("anchored") > 1, F.array_sort(F.flatten(F.transform("anchored", starts)))))
     # Sorted, equal starts are neighbours: take each that has one just before it, once.
     same = lambda x, j: F.get("starts", j).eqNullSafe(x)
     agreed = F.filter("starts", lambda x, j: same(x, j - 1) & ~same(x, j - 2))
@@ -143,7 +140,7 @@ def scan(docs: DataFrame, *carry) -> DataFrame:
     rows = rows.withColumn("spans", F.coalesce(F.when(F.size("agreed") > 0, spans), F.array().cast("array<struct<label:string,start:int,end:int,score:double,key:boolean>>")))
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     base_labels = F.transform("based", lambda b: b["label"])
-    kept = [f for f in rows.columns if f not in ("words", "hits", "based", "anchors", "starts", "agreed", "templates", "spans")]
+    kept = [f for f in rows.columns if f not in ("words", "hits", "based", "anchored", "starts", "agreed", "templates", "spans")]
     return rows.select(
         *kept,
         F.size("words").cast("long").alias("n_words"),
