@@ -47,6 +47,23 @@ def test_search_empties_bins():
     assert sum(P.local_search(start, 10).values()) == 3
 
 
+def test_search_converges():
+    """Thousands of bin types, and no step is left between any two underfull ones."""
+    lengths = np.maximum(np.exp(np.random.default_rng(1).normal(np.log(300), 1, 300_000)).astype(int), 1)
+    histogram = Counter((lengths[lengths % 1024 > 0] % 1024).tolist())
+    bins = P.local_search(P.best_fit(histogram, 1024), 1024)
+    held = Counter()
+    for b, c in bins.items():
+        for n in b:
+            held[n] += c
+    assert held == histogram
+    underfull = [b for b in bins if sum(b) < 1024]
+    for a in underfull:
+        for b in underfull:
+            if sum(a) <= sum(b) and (a != b or bins[a] > 1):
+                assert not P._steps(a, b, 1024 - sum(b))[0]
+
+
 def check(rows, packed, capacity=P.CAPACITY):
     encode = P.ByteBPE(tokenizer_path()).encode
     want = Counter()

@@ -35,8 +35,6 @@ from .common import TextBlock, as_bytes, blocks, cut
 
 CAPACITY, END_ID = 1024, 2
 SALTS = 256
-#: Bound on local search steps, each on a pair of bin types; the plan is whole at any point.
-MAX_STEPS = 20_000
 #: Words whose ids a worker remembers before it forgets them all.
 CACHE_ENTRIES = 1_000_000
 
@@ -241,42 +239,65 @@ def _steps(a: tuple[int, ...], b: tuple[int, ...], room: int) -> tuple[int, tupl
     return best
 
 
-def local_search(bins: Bins, capacity: int, max_steps: int = MAX_STEPS) -> Bins:
-    """Empties underfull bins into fuller ones while that raises the sum of squared fills."""
+def local_search(bins: Bins, capacity: int) -> Bins:
+    """Empties underfull bins into fuller ones until no step raises the sum of squared fills any more.
+
+    Whether a donor gains from a taker depends on the two types alone, so a pair without gain is not tried again: a donor
+    goes on with the types that came up since its last full scan.
+    """
     bins = Counter({b: c for b, c in bins.items() if c})
-    underfull = sorted((sum(b), b) for b in bins if sum(b) < capacity)
-    stuck: set[tuple[int, ...]] = set()
-    steps = 0
+    came: list[tuple[int, ...]] = []
+    seen: dict[tuple[int, ...], int] = {}
+    scanned: dict[tuple[int, ...], int] = {}
+    barren: dict[tuple[int, ...], set[tuple[int, ...]]] = defaultdict(set)
+    due: list[tuple[int, tuple[int, ...]]] = []
+    fills: dict[tuple[int, ...], int] = {}
+
+    def arrive(b: tuple[int, ...]) -> None:
+        fills[b] = sum(b)
+        if fills[b] < capacity:
+            seen[b] = len(came)
+            came.append(b)
 
     def change(b: tuple[int, ...], by: int) -> None:
         if not b:
             return
         was = bins[b]
         bins[b] += by
-        if sum(b) < capacity and bool(was) != bool(bins[b]):
-            insort(underfull, (sum(b), b)) if bins[b] else underfull.pop(bisect_left(underfull, (sum(b), b)))
         if not bins[b]:
             del bins[b]
-
-    while steps < max_steps:
-        donor = next((b for _, b in underfull if b not in stuck), None)
-        if donor is None:
-            break
-        for fill, taker in reversed(underfull):
-            if taker == donor and bins[donor] < 2 or fill < sum(donor):
-                continue
-            steps += 1
-            moved, out, back = _steps(donor, taker, capacity - fill)
-            if moved:
-                times = bins[donor] // 2 if taker == donor else min(bins[donor], bins[taker])
-                new = [tuple(sorted((Counter(x) - Counter(y) + Counter(z)).elements(), reverse=True)) for x, y, z in ((donor, out, back), (taker, back, out))]
-                for b, by in ((donor, -times), (taker, -times), (new[0], times), (new[1], times)):
-                    change(b, by)
-                stuck.clear()
+            seen.pop(b, None)
+        elif not was or was < 2 <= bins[b]:
+            arrive(b)
+
+    for b in bins:
+        arrive(b)
+    while True:
+        due = sorted((fills[b], b) for b in seen if scanned.get(b, 0) < len(came))
+        progressed = False
+        for fill, donor in due:
+            while donor in seen and scanned.get(donor, 0) < len(came):
+                end = len(came)
+                takers = {b for b in came[scanned.get(donor, 0) :] if b in seen and fills[b] >= fill} - barren[donor]
+                for taker in sorted(takers, key=lambda b: (fills[b], b), reverse=True):
+                    if taker == donor and bins[donor] < 2:
+                        continue
+                    moved, out, back = _steps(donor, taker, capacity - fills[taker])
+                    if not moved:
+                        barren[donor].add(taker)
+                        continue
+                    times = bins[donor] // 2 if taker == donor else min(bins[donor], bins[taker])
+                    new = [tuple(sorted((Counter(x) - Counter(y) + Counter(z)).elements(), reverse=True)) for x, y, z in ((donor, out, back), (taker, back, out))]
+                    for b, by in ((donor, -times), (taker, -times), (new[0], times), (new[1], times)):
+                        change(b, by)
+                    progressed = True
+                    break
+                else:
+                    scanned[donor] = end
+            if progressed:
                 break
-        else:
-            stuck.add(donor)
-    return bins
+        if not progressed:
+            return bins
 
 
 def plan_slots(bins: Bins) -> dict[int, list[tuple[int, int, int, int]]]:
