@@ -3,6 +3,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tidemark.llm import exact_dedup as E, near_dedup as N
@@ -101,6 +102,14 @@ def test_near_pairs_that_share_a_passage(spark, frame):
     assert sorted((tuple(r) for r in N.near_groups(frame(rows)).collect()), key=str) == plain_near(rows)
 
 
+def test_screen_follows_the_threshold():
+    """Signatures that agree in 80 of 128 places are within 6 standard deviations of 0.8, but not of 0.85."""
+    sigs = np.zeros((2, N.VALUES), np.uint16)
+    sigs[1, 80:] = 1
+    pairs = [len(N._bucket_pairs(np.arange(2), sigs, np.zeros(2, np.int64), 0, N.screen(t))[0]) for t in (0.8, 0.85)]
+    assert pairs == [1, 0] and (N.far_bands(0.8), N.far_bands(0.85)) == (2, 4)
+
+
 def test_near_dedup_keeps_one(spark, frame):
     rows = [(i, t, "en", "a") for i, t in enumerate(family(20, 100, 0, 4))] + [(50, "other words entirely for this one", "en", "b"), (50, "other words entirely for this one", "en", "b")]
     docs = frame(rows)

@@ -13,8 +13,8 @@ are cut into bands of ROWS values; documents that share a band are candidates.
 * Members of large buckets that are still in several components are compared by what sets them apart from their centre (see
   `across_components`), so that no candidate link is missed, and components are found anew.
 
-Pairs of small buckets whose signatures agree in under SCREEN of their places are not confirmed: at a similarity of 0.85 that is
-over 6 standard deviations off. At 0.85 two documents share no band with a probability of (1 - 0.85^4)^32 = 5e-11.
+Pairs of small buckets whose signatures agree in too few places are not confirmed (`screen`): that is over SIGMAS standard
+deviations below the threshold. At 0.85 two documents share no band with a probability of (1 - 0.85^4)^32 = 5e-11, at 0.8 of 5e-8.
 
 Defined cases: null and empty texts have no shingle and no link, each its own component;
 texts of fewer than 5 words are one shingle; rows without doc_id are left out of
@@ -37,8 +37,9 @@ WORDS, THRESHOLD = 5, 0.85
 HASHES, ROWS = 64, 4
 VALUES = 2 * HASHES
 BANDS = VALUES // ROWS
-SMALL, SCREEN = 8, 0.65
-FAR, FAR_BANDS = 0.4, 4
+SMALL, SIGMAS = 8, 6.3
+#: A member is far from a centre below this agreement; bound on the probability to lose a pair by that.
+FAR, MISSED = 0.4, 5e-7
 #: Longest list of ids to broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
 _FACTORS = (mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -116,42 +117,57 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 # --- candidates -------------------------------------------------------------------------------------------------------
 
+def screen(threshold: float) -> float:
+    """The least agreement of signatures of a pair to be confirmed."""
+    return threshold - SIGMAS * (threshold * (1 - threshold) / VALUES) ** 0.5
+
+
+def far_bands(threshold: float) -> int:
+    """In how many of its bands a member may be far from its centre and leave the stars of these (see `_near_stars`)."""
+    miss = 1 - threshold**ROWS
+    return next((k for k in range(4, 0, -1) if miss ** (BANDS - 2 * k) <= MISSED), 0)
+
+
 def _agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=-1)
 
 
-def _bucket_pairs(ids: np.ndarray, sigs: np.ndarray, large: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+def _bucket_pairs(ids: np.ndarray, sigs: np.ndarray, large: np.ndarray, band: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """All pairs of a small bucket that share no earlier small one; large: bits of the bands where a member's bucket is large."""
     x, y = np.triu_indices(len(ids), 1)
     bands = (sigs[x] == sigs[y]).reshape(len(x), BANDS, ROWS).all(axis=2)
     bands &= (large[x][:, None] >> np.arange(BANDS)) & 1 == 0
-    take = (np.argmax(bands, axis=1) == band) & ((sigs[x] == sigs[y]).mean(axis=1) >= SCREEN)
+    take = (np.argmax(bands, axis=1) == band) & ((sigs[x] == sigs[y]).mean(axis=1) >= least)
     return ids[x[take]], ids[y[take]]
 
 
-def _small_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _small_buckets(least: float):
     """Rows (band, key, id, sig, large) sorted by (band, key) to candidate pairs; a bucket may span batches."""
-    held = None
-    for batch in batches:
-        rows = batch if held is None else pa.concat_batches([held, batch])
-        if not rows.num_rows:
-            continue
-        band, key = rows.column(0).to_numpy(), rows.column(1).to_numpy()
-        # The last bucket may go on in the next batch.
-        last = np.flatnonzero((key != key[-1]) | (band != band[-1]))
-        at = int(last[-1]) + 1 if len(last) else 0
-        yield _pairs_of(rows.slice(0, at))
-        held = rows.slice(at)
-    if held is not None:
-        yield _pairs_of(held)
-
-
-def _pairs_of(rows: pa.RecordBatch) -> pa.RecordBatch:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            if not rows.num_rows:
+                continue
+            band, key = rows.column(0).to_numpy(), rows.column(1).to_numpy()
+            # The last bucket may go on in the next batch.
+            last = np.flatnonzero((key != key[-1]) | (band != band[-1]))
+            at = int(last[-1]) + 1 if len(last) else 0
+            yield _pairs_of(rows.slice(0, at), least)
+            held = rows.slice(at)
+        if held is not None:
+            yield _pairs_of(held, least)
+
+    return run
+
+
+def _pairs_of(rows: pa.RecordBatch, least: float) -> pa.RecordBatch:
     band, key, ids = (rows.column(k).to_numpy() for k in range(3))
     sigs = np.frombuffer(b"".join(rows.column(3).to_pylist()), dtype=np.uint16).reshape(-1, VALUES)
     large = rows.column(4).to_numpy()
     edge = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (band[1:] != band[:-1]))) if len(key) else np.zeros(0, np.int64)
-    found = [_bucket_pairs(ids[i:j], sigs[i:j], large[i:j], int(band[i])) for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(ids)], strict=False)]
+    found = [_bucket_pairs(ids[i:j], sigs[i:j], large[i:j], int(band[i]), least) for i, j in zip(edge.tolist(), [*edge[1:].tolist(), len(ids)], strict=False)]
     x, y = (np.concatenate(p) for p in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
 
@@ -206,17 +222,18 @@ def _agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((a == b).mean(axis=1) if len(a) else np.zeros(0))], names=["id", "centre", "bands", "agreement"])
 
 
-def _near_stars(stars: DataFrame, sigs: DataFrame) -> DataFrame:
+def _near_stars(stars: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     """(id, centre) without members that are far from a centre and just share a passage with it.
 
-    A linked pair shares each band with probability 0.52. Unless a member is far from its centre in over FAR_BANDS of its
-    bands, it leaves the stars of these; else it stays. A pair so loses up to FAR_BANDS bands by either member, and its link shows in
-    the others, small buckets or stars, but for a probability of 0.48^(BANDS - 2 * FAR_BANDS) = 2e-8.
+    A linked pair shares each band with probability threshold^ROWS. Unless a member is far from its centre in over `far_bands` of its
+    bands, it leaves the stars of these; else it stays. A pair so loses up to that many bands by either member, and its link shows in
+    the others, small buckets or stars, but for a probability of (1 - threshold^ROWS)^(BANDS - 2 * far_bands): 2e-8 at 0.85, 4e-7 at 0.8.
     """
     both = stars.join(sigs.select("id", "sig"), "id").join(sigs.select(F.col("id").alias("centre"), F.col("sig").alias("centre_sig")), "centre")
     rows = both.select("id", "centre", "bands", "sig", "centre_sig").mapInArrow(_agreement, "id long, centre long, bands long, agreement double")
-    far = F.sum(F.when(F.col("agreement") < FAR, F.col("bands")).otherwise(0)).over(Window.partitionBy("id"))
-    return rows.withColumn("far", far).where((F.col("agreement") >= FAR) | (F.col("far") > FAR_BANDS)).select("id", "centre")
+    least = min(FAR, screen(threshold))
+    far = F.sum(F.when(F.col("agreement") < least, F.col("bands")).otherwise(0)).over(Window.partitionBy("id"))
+    return rows.withColumn("far", far).where((F.col("agreement") >= least) | (F.col("far") > far_bands(threshold))).select("id", "centre")
 
 
 def across_components(stars: DataFrame, found: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
@@ -317,8 +334,8 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = cut(keys.withColumn("members", members).where("members > 1"))
     large = shared.where(F.col("members") > SMALL).groupBy("id").agg(F.expr("bit_or(shiftleft(1L, band))").alias("large"))
     small = shared.where(F.col("members") <= SMALL).join(firsts, "id").join(large, "id", "left").select("band", "key", "id", "sig", F.coalesce("large", F.lit(0).cast("long")).alias("large"))
-    small = small.repartition("band", "key").sortWithinPartitions("band", "key", "id").mapInArrow(_small_buckets, "x long, y long")
-    stars = cut(_near_stars(_stars(shared.where(F.col("members") > SMALL), shared), firsts))
+    small = small.repartition("band", "key").sortWithinPartitions("band", "key", "id").mapInArrow(_small_buckets(screen(threshold)), "x long, y long")
+    stars = cut(_near_stars(_stars(shared.where(F.col("members") > SMALL), shared), firsts, threshold))
     pairs = cut(small.unionByName(stars.select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y"))).distinct())
     links = cut(confirmed(pairs, rows, threshold))
     found = components(links)
