@@ -63,3 +63,9 @@ def test_many_partitions_and_hot_keys(spark, monkeypatch):
 
 def test_empty(spark):
     assert katz_lm.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_pairs_seen_once_are_in_the_model(spark):
+    """Both pairs of "q z" and its end were seen once and have all of their history's mass: only P1(q) = 2 / 7 is left."""
+    got = katz_lm.score(spark.createDataFrame([(None, "q z")], "doc_id long, text string")).first()
+    assert got["score"] == pytest.approx(math.log10(2 / 7))

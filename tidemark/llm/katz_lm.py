@@ -3,12 +3,11 @@
 Tokens are words (A-Z lower-cased) and one end a text. With c the counts of training tokens:
 
     P1(w)      = (c(w) + 1) / (N + V + 1), the unknown word being one with c = 0
-    P(w | h)   = d * c(h, w) / c(h)     if the pair was seen at least MIN_COUNT times
+    P(w | h)   = d * c(h, w) / c(h)     if the pair was seen
                = alpha(h) * P1(w)       else
 
 A text's first token has P1. d is Good-Turing's for counts up to GT_MAX, from the corpus's counts of
-counts; rarer pairs count as unseen, as Katz has it for those seen once, and their mass goes to the
-back-off. alpha(h) is what d leaves, over what P1 leaves to unseen words: all probabilities after h
+counts. alpha(h) is what d leaves, over what P1 leaves to unseen words: all probabilities after h
 add up to exactly 1.
 
 How it runs. Word pairs of 100 TB are too many to send with every occurrence, so tasks read texts block by block
@@ -44,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import TextBlock, as_bytes, blocks, ensure_checkpoint_dir, mix64, release
 
 FOLDS, TEST_FOLD = 7, 2
-MIN_COUNT, GT_MAX = 2, 5
+MIN_COUNT, GT_MAX = 1, 5
 HOT = 10_000
 #: Bytes of text in a block, and tokens for each partition of the key space.
 BLOCK, TOKENS_PER_PARTITION = 8 << 20, 4_000_000
