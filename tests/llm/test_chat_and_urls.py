@@ -1,5 +1,8 @@
 import hashlib
+import math
+import random
 import re
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -67,6 +70,71 @@ def test_model_is_a_distribution_and_separates(spark):
     assert (out[5000], out[5001]) == ("allow", "block")
 
 
+def plain_symbols(url):
+    return [U.ALPHABET.find(re.sub("[0-9]", "0", c)) + 1 for c in (url or "").lower()]
+
+
+def plain_weights(judged):
+    """The log-ratio of any gram, by the Witten-Bell formulas and plain dictionaries, from (verdict, url)."""
+    classes = lambda s: next((k + 1 for k, members in enumerate(U.CLASSES) if 0 < s < U.START and U.ALPHABET[s - 1] in members), 0)
+    after = {side: [defaultdict(Counter) for _ in range(4)] for side in U.SIDES}
+    context = lambda a, b, c: ((), (c,), (b, c), (classes(a), b, c))
+    for side, url in judged:
+        a = b = c = U.START
+        for x in plain_symbols(url):
+            for k, h in enumerate(context(a, b, c)):
+                after[side][k][h][x] += 1
+            a, b, c = b, c, x
+
+    def p(side, a, b, c, x):
+        value = 1 / (U.A - 1)
+        for k, h in enumerate(context(a, b, c)):
+            seen = after[side][k].get(h)
+            if seen:
+                value = (seen[x] + len(seen) * value) / (sum(seen.values()) + len(seen))
+        return value
+
+    def score(url):
+        a, b, c, total, s = U.START, U.START, U.START, 0.0, plain_symbols(url)
+        for x in s:
+            total += math.log(p("allow", a, b, c, x) / p("block", a, b, c, x))
+            a, b, c = b, c, x
+        return total / len(s) if s else 0.0
+
+    assert sum(p("allow", 3, 4, 5, x) for x in range(U.A - 1)) == pytest.approx(1)
+    return score
+
+
+def test_model_against_brute_force(spark):
+    urls = [r["url"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()] + [u for u in URLS if u is None or u.isascii()]
+    judged = [(plain_rule(u)[3], u) for u in urls if plain_rule(u)[3]]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("symbols", U.symbols(F.col("url")))
+    weights = U.model(spark.createDataFrame(judged, "verdict string, url string").select("verdict", U.symbols(F.col("url")).alias("symbols")))
+    want = plain_weights(judged)
+    assert {r["page_id"]: r["score"] for r in U.scored(rows, weights).collect()} == pytest.approx({i: want(u) for i, u in enumerate(urls)}, abs=1e-9)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_threshold_against_brute_force(spark, seed):
+    draw = random.Random(seed)
+    rows = [(side, draw.gauss(0.4 if side == "allow" else -0.6, 0.5)) for side in draw.choices(U.SIDES, k=300)] + [("allow", 99.0), ("block", -99.0)]
+    got = U.threshold(spark.createDataFrame(rows, "verdict string, score double"))
+
+    def errors(t):
+        return sum((s < t - 1e-9) for v, s in rows if v == "allow") / sum(v == "allow" for v, _ in rows) + sum((s >= t - 1e-9) for v, s in rows if v == "block") / sum(v == "block" for v, _ in rows)
+
+    assert errors(got) == pytest.approx(min(errors(k * U.STEP) for k in range(-1000, 1001)))
+    assert U.threshold(spark.createDataFrame([("allow", 1.0)], "verdict string, score double")) == 0.0
+
+
+def test_long_urls_ties_and_clashing_columns(spark):
+    """A long URL is read to its end; without models every score is at the threshold, which is allowed."""
+    long_ = "http://q.org/" + "a" * 100_000
+    pages = spark.createDataFrame([(1, long_, "s", 1), (2, long_ + "zz", "s", 2), (2, long_ + "zz", "s", 2)], "page_id long, url string, symbols string, weights int")
+    out = U.judge(pages).orderBy("page_id").collect()
+    assert [(r["page_id"], len(r["path"]), r["verdict"], r["score"]) for r in out] == [(1, 100_001, "allow", 0.0), (2, 100_003, "allow", 0.0), (2, 100_003, "allow", 0.0)]
+
+
 @pytest.mark.parametrize("text", HARD)
 def test_escape(spark, text):
     df = spark.createDataFrame([(text or "",)], "t string").select("t", C.escape(F.col("t")).alias("e"))
