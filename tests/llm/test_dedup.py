@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from tidemark.llm import exact_dedup as E, near_dedup as N
+from tidemark.llm import common, exact_dedup as E, near_dedup as N
 
 LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -43,7 +43,7 @@ def test_exact_dedup_keeps_columns(spark, frame, odd_rows):
     assert E.exact_groups(frame([])).collect() == [] == E.exact_dedup(frame([])).collect()
 
 
-def plain_near(rows):
+def plain_near(rows, percent=85):
     def shingles(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
         return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
@@ -59,7 +59,7 @@ def plain_near(rows):
     for i, a in enumerate(sets):
         for j in range(i):
             b = sets[j]
-            if rows[i][0] is not None and rows[j][0] is not None and a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if rows[i][0] is not None and rows[j][0] is not None and a and b and 100 * len(a & b) >= percent * len(a | b):
                 root[find(i)] = find(j)
     least = defaultdict(list)
     for i, r in enumerate(rows):
@@ -85,7 +85,45 @@ def family(n, words, edits, seed):
 def test_near_groups(spark, frame, odd_rows):
     texts = family(60, 150, 4, 1) + family(12, 80, 2, 2) + family(5, 40, 1, 3) + ["a b c d", "A b c d", "a b c d e"]
     rows = odd_rows + [(1000 - i, t, "en", "a") for i, t in enumerate(texts)]
-    assert sorted((tuple(r) for r in N.near_groups(frame(rows)).collect()), key=str) == plain_near(rows)
+    assert sorted((tuple(r) for r in N.near_groups(frame(rows), 0.85).collect()), key=str) == plain_near(rows)
+
+
+def test_components_of_a_chain(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 7), (200, 201), (203, 201), (5, 5)]
+    got = {r["id"]: r["component"] for r in N.components(spark.createDataFrame(links, "x long, y long")).collect()}
+    assert got == {i: 0 for i in [*range(1, 41), 100]} | {201: 200, 203: 200}
+
+
+def test_near_groups_at_the_default(spark, frame, odd_rows):
+    rows = odd_rows + [(1000 - i, t, "en", "a") for i, t in enumerate(family(40, 120, 5, 11) + family(15, 60, 3, 12))]
+    assert sorted((tuple(r) for r in N.near_groups(frame(rows)).collect()), key=str) == plain_near(rows, 80)
+
+
+@pytest.mark.parametrize("order", [1, -1])
+def test_repeated_ids_with_other_texts(spark, frame, order):
+    """Both texts of document 2 have a near copy; which row comes first changes nothing, and one row of each pair stays."""
+    draw = random.Random(3)
+    a, b = ([f"{c}{draw.randrange(900)}" for _ in range(90)] for c in "ab")
+    rows = [(2, " ".join(a), "en", "a"), (2, " ".join(b), "en", "a")][::order] + [(5, " ".join([*a, "z"]), "en", "a"), (6, " ".join([*b, "z"]), "en", "a"), (1, " ".join([*b, "z", "y"]), "en", "a")]
+    assert sorted((tuple(r) for r in N.near_groups(frame(rows), 0.85).collect()), key=str) == plain_near(rows)
+    kept = N.near_dedup(frame(rows), 0.85).collect()
+    assert sorted((r["doc_id"], r["text"][0]) for r in kept) == [(1, "b"), (2, "a")]
+
+
+def test_hot_centres_are_dealt(spark, frame, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    rows = [(i, t, "en", "a") for i, t in enumerate(family(60, 150, 4, 1) + family(30, 90, 3, 2))]
+    assert sorted((tuple(r) for r in N.near_groups(frame(rows), 0.85).collect()), key=str) == plain_near(rows)
+
+
+def test_near_dedup_on_odd_rows(spark, frame, odd_rows):
+    """Rows without an id and each empty document stay; repeated rows and links leave one."""
+    docs = frame(odd_rows)
+    got = sorted(((r["doc_id"], r["text"]) for r in N.near_dedup(docs).collect()), key=str)
+    want = {(d, t) for d, t, *_ in odd_rows if d is None}
+    reps = {r[2] for r in plain_near(odd_rows, 80)}
+    want |= {(d, t) for d, t, *_ in odd_rows if d is not None and d in reps}
+    assert got == sorted(want, key=str)
 
 
 def test_near_pairs_that_share_a_passage(spark, frame):
@@ -99,7 +137,7 @@ def test_near_pairs_that_share_a_passage(spark, frame):
             text[draw.randrange(115, 215)] = "changed"
             texts.append(" ".join(text))
     rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
-    assert sorted((tuple(r) for r in N.near_groups(frame(rows)).collect()), key=str) == plain_near(rows)
+    assert sorted((tuple(r) for r in N.near_groups(frame(rows), 0.85).collect()), key=str) == plain_near(rows)
 
 
 def test_screen_follows_the_threshold():

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
-import time
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cached_property
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: ASCII white space, the only separator of words here.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -16,27 +17,78 @@ WHITE = b" \t\n\x0b\x0c\r"
 BLOCK_BYTES = 4 << 20
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; make one only where none is set."""
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+#: Rows that share a key and go to one task before the key is dealt over several; longest list of keys to broadcast.
+HOT_ROWS, BROADCAST_KEYS = 512, 1_000_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder now and continue from that copy."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where none is set and all is on one machine."""
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    return context.getCheckpointDir().get()
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished jobs whose frames are out of use."""
-    import gc
+@contextmanager
+def _shuffles_end_with_their_job(spark: SparkSession):
+    """Frames made inside leave no shuffle files behind once their action has ended."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    time.sleep(0.3)  # the cleaner works in the background
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder now and continue from that copy."""
+    ensure_checkpoint_dir(df.sparkSession)
+    with _shuffles_end_with_their_job(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of files in the shared folder: columnar and compressed, for what is large."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    with _shuffles_end_with_their_job(spark):
+        df.select("*").write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Remove the files of frames from `cut` or `written` that nothing reads any more."""
+    for df in frames:
+        spark, files = df.sparkSession, df.inputFiles()
+        if files:
+            place = files[0].rsplit("/", 1)[0]
+        else:
+            found = df._jdf.queryExecution().logical()
+            found = found.rdd().getCheckpointFile() if hasattr(found, "rdd") else None
+            if found is None or not found.isDefined():
+                continue
+            place = found.get()
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, by: str, counted: DataFrame | None = None) -> DataFrame:
+    """left joined with right, which has a row a key; a key of over HOT_ROWS rows in left is dealt by the column `by`
+    over as many salts as it needs, and its row in right goes to each. `counted`: rows with the same keys, if cheaper to count."""
+    n = (left if counted is None else counted).groupBy(key).agg(F.count(F.lit(1)).alias("__tm_n")).where(F.col("__tm_n") > HOT_ROWS)
+    hot = cut(n.select(key, F.ceil(F.col("__tm_n") / HOT_ROWS).cast("int").alias("__tm_salts")))
+    n_hot = hot.count()  # at most 1 in HOT_ROWS of left's rows
+    if not n_hot:
+        return left.join(right, key)
+    hot = F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot
+    salts = F.coalesce("__tm_salts", F.lit(1))
+    a = left.join(hot, key, "left").withColumn("__tm_salt", F.pmod(F.xxhash64(by), salts).cast("int")).drop("__tm_salts")
+    b = right.join(hot, key, "left").withColumn("__tm_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("__tm_salts")
+    return a.join(b, [key, "__tm_salt"]).drop("__tm_salt")
 
 
 def blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
@@ -51,6 +103,21 @@ def blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def text_blocks(column, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[bytes]]]:
+    """The blocks of an Arrow string column one by one, so that no more than one block's texts are copied at once."""
+    import pyarrow.compute as pc
+
+    lengths = np.asarray(pc.fill_null(pc.binary_length(column), 0)).tolist()
+    start = size = 0
+    for i, n in enumerate(lengths):
+        if i > start and size + n > limit:
+            yield start, i, as_bytes(column.slice(start, i - start))
+            start, size = i, 0
+        size += n + 1
+    if start < len(lengths):
+        yield start, len(lengths), as_bytes(column.slice(start))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose output bits all depend on all input bits."""
     x = x.copy()

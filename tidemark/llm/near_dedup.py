@@ -16,10 +16,16 @@ are cut into bands of ROWS values; documents that share a band are candidates.
 Pairs of small buckets whose signatures agree in too few places are not confirmed (`screen`): that is over SIGMAS standard
 deviations below the threshold. At 0.85 two documents share no band with a probability of (1 - 0.85^4)^32 = 5e-11, at 0.8 of 5e-8.
 
+The graph's nodes are classes, not doc_ids: a node's id is its class's smallest doc_id, or a number of its own where a doc_id that
+repeats with another text is the smallest of several classes.
+
+Tasks hold a block of texts or a batch of signatures; sets are compared on the JVM, row by row, and a centre or document that many
+rows meet is dealt over several tasks (`join_hot`).
+
 Defined cases: null and empty texts have no shingle and no link, each its own component;
 texts of fewer than 5 words are one shingle; rows without doc_id are left out of
-groups; repeated rows are in one class; empty tables give no rows; long texts are read whole; other columns
-are not read.
+groups, and `near_dedup` keeps them; repeated rows are in one class, and `near_dedup` keeps one of them; rows that repeat a doc_id
+with another text are nodes of their own; empty tables give no rows; long texts are read whole; other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -28,12 +34,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import TextBlock, as_bytes, blocks, cut, mix64, release
+from .common import TextBlock, cut, drop, join_hot, mix64, text_blocks
 
-WORDS, THRESHOLD = 5, 0.85
+WORDS, THRESHOLD = 5, 0.8
 HASHES, ROWS = 64, 4
 VALUES = 2 * HASHES
 BANDS = VALUES // ROWS
@@ -42,6 +48,8 @@ SMALL, SIGMAS = 8, 6.3
 FAR, MISSED = 0.4, 5e-7
 #: Longest list of ids to broadcast (8 bytes each).
 BROADCAST_IDS = 1_000_000
+#: Bytes of text that a task works on at once.
+BLOCK = 1 << 20
 _FACTORS = (mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _SHIFTS = (mix64(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)).astype(np.uint32)
 
@@ -87,32 +95,43 @@ def signatures(key: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
+def _classes_of(key: np.ndarray, doc: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each text's set; 0 for empty sets."""
+    a, b = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    begin = np.flatnonzero(np.diff(doc, prepend=-1))
+    if len(begin):
+        some = doc[begin]
+        with np.errstate(over="ignore"):
+            a[some] = (mix64(np.add.reduceat(mix64(key ^ np.uint64(0x5851F42D4C957F2D)), begin)) + n[some].astype(np.uint64)).view(np.int64)
+            b[some] = np.bitwise_xor.reduceat(mix64(key + np.uint64(0xA24BAED4963EE407)), begin).view(np.int64)
+    return a, b
+
+
 def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, mark) to doc_id, mark, size, class and signature of the set."""
     for batch in batches:
-        ids, texts = batch.column(0), [x.lower() for x in as_bytes(batch.column(1))]
-        for i, j in blocks(texts):
-            key, doc = shingle_sets(texts[i:j])
+        for i, j, texts in text_blocks(batch.column(1), BLOCK):
+            key, doc = shingle_sets([x.lower() for x in texts])
             n = np.bincount(doc, minlength=j - i)
             begin = np.flatnonzero(np.diff(doc, prepend=-1))
             sigs: list[bytes | None] = [None] * (j - i)
-            class_a, class_b = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64)
             if len(begin):
-                some = doc[begin]
-                with np.errstate(over="ignore"):
-                    class_a[some] = (mix64(np.add.reduceat(mix64(key ^ np.uint64(0x5851F42D4C957F2D)), begin)) + n[some].astype(np.uint64)).view(np.int64)
-                    class_b[some] = np.bitwise_xor.reduceat(mix64(key + np.uint64(0xA24BAED4963EE407)), begin).view(np.int64)
-                for s, row in zip(some.tolist(), signatures(key, begin), strict=True):
+                for s, row in zip(doc[begin].tolist(), signatures(key, begin), strict=True):
                     sigs[s] = row.tobytes()
-            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(class_a), pa.array(class_b), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "a", "b", "sig"])
+            class_a, class_b = _classes_of(key, doc, n)
+            columns = [batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array(n, pa.int64()), pa.array(class_a), pa.array(class_b), pa.array(sigs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n_shingles", "a", "b", "sig"])
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) to the set's class and its sorted keys."""
     for batch in batches:
-        ids, texts = batch.column(0), [x.lower() for x in as_bytes(batch.column(1))]
-        for i, j in blocks(texts):
-            key, doc = shingle_sets(texts[i:j])
-            ends = np.searchsorted(doc, np.arange(j - i + 1)).tolist()
-            yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array([key[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["id", "keys"])
+        for i, j, texts in text_blocks(batch.column(1), BLOCK):
+            key, doc = shingle_sets([x.lower() for x in texts])
+            class_a, class_b = _classes_of(key, doc, np.bincount(doc, minlength=j - i))
+            ends = np.searchsorted(doc, np.arange(j - i + 1)).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(class_a), pa.array(class_b), keys], names=["id", "a", "b", "keys"])
 
 
 # --- candidates -------------------------------------------------------------------------------------------------------
@@ -172,31 +191,37 @@ def _pairs_of(rows: pa.RecordBatch, least: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["x", "y"])
 
 
-def _sets_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    """id, keys: the shingle sets of the documents with these ids."""
-    wanted = cut(ids.select("id").distinct())
-    # A list of ids goes to the texts while it is short, else they meet by a shuffle.
-    few = wanted.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(wanted) if few else wanted, docs["doc_id"] == wanted["id"], "left_semi").dropDuplicates(["doc_id"])
-    return texts.mapInArrow(_set_rows, "id long, keys binary")
+class _Corpus:
+    """Texts by node: docs has (doc_id, text); nodes, if given, the (id, first, a, b) of nodes that aren't just their doc_id."""
 
+    def __init__(self, docs: DataFrame, nodes: DataFrame | None):
+        self.docs, self.nodes = docs, nodes
 
-def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (centre, id, keys of both) to the set's size and its difference from the centre's: added keys first, then
-    removed; and a bit for each of 256 classes of keys that the difference has."""
-    for batch in batches:
-        size, centre_size, diff, bits = [], [], [], np.zeros((batch.num_rows, 32), np.uint8)
-        for own, of_centre in zip(batch.column("keys").to_pylist(), batch.column("centre_keys").to_pylist(), strict=True):
-            a, c = np.frombuffer(own, np.uint64), np.frombuffer(of_centre, np.uint64)
-            size.append(len(a))
-            centre_size.append(len(c))
-            d = np.concatenate([np.setdiff1d(a, c, True), np.setdiff1d(c, a, True)])
-            bit = np.unique(d >> np.uint64(56)).astype(np.int64)
-            np.bitwise_or.at(bits[len(diff)], bit >> 3, (1 << (bit & 7)).astype(np.uint8))
-            diff.append(d.view(np.int64))
-        words = bits.view(np.int64)
-        columns = [batch.column("centre"), batch.column("id"), batch.column("comp"), batch.column("minor"), pa.array(size, pa.int64()), pa.array(centre_size, pa.int64()), pa.array(diff, pa.list_(pa.int64())), *[pa.array(words[:, k]) for k in range(4)]]
-        yield pa.RecordBatch.from_arrays(columns, names=["centre", "id", "comp", "minor", "size", "centre_size", "diff", "s0", "s1", "s2", "s3"])
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """id, keys: the shingle sets of the nodes with these ids."""
+        wanted = cut(ids.select("id").distinct())
+        # A list of ids goes to the texts while it is short, else they meet by a shuffle.
+        few = wanted.count() <= BROADCAST_IDS
+        if self.nodes is None:
+            of = wanted.withColumn("first", F.col("id"))
+        else:
+            of = wanted.join(self.nodes.withColumnsRenamed({"a": "class_a", "b": "class_b"}), "id")
+        texts = self.docs.join(F.broadcast(of) if few else of, self.docs["doc_id"] == of["first"])
+        found = texts.select("id", "text").mapInArrow(_set_rows, "id long, a long, b long, keys array<long>")
+        if self.nodes is not None:
+            found = found.join(of, "id").where("a = class_a and b = class_b")
+        return found.groupBy("id").agg(F.first("keys").alias("keys"))
+
+
+def _bits(keys: Column) -> Column:
+    """Which of 256 classes of keys (by their top byte) occur, as four 64-bit words."""
+    start = F.struct(*[F.lit(0).cast("long").alias(f"s{k}") for k in range(4)])
+
+    def step(acc: Column, x: Column) -> Column:
+        word, bit = F.shiftrightunsigned(x, 62), F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(x, 56).bitwiseAND(63).cast("int"))
+        return F.struct(*[F.when(word == k, acc[f"s{k}"].bitwiseOR(bit)).otherwise(acc[f"s{k}"]).alias(f"s{k}") for k in range(4)])
+
+    return F.aggregate(keys, start, step)
 
 
 def _stars(large: DataFrame, shared: DataFrame) -> DataFrame:
@@ -229,14 +254,14 @@ def _near_stars(stars: DataFrame, sigs: DataFrame, threshold: float) -> DataFram
     bands, it leaves the stars of these; else it stays. A pair so loses up to that many bands by either member, and its link shows in
     the others, small buckets or stars, but for a probability of (1 - threshold^ROWS)^(BANDS - 2 * far_bands): 2e-8 at 0.85, 4e-7 at 0.8.
     """
-    both = stars.join(sigs.select("id", "sig"), "id").join(sigs.select(F.col("id").alias("centre"), F.col("sig").alias("centre_sig")), "centre")
+    both = join_hot(stars.join(sigs.select("id", "sig"), "id"), sigs.select(F.col("id").alias("centre"), F.col("sig").alias("centre_sig")), "centre", "id", stars)
     rows = both.select("id", "centre", "bands", "sig", "centre_sig").mapInArrow(_agreement, "id long, centre long, bands long, agreement double")
     least = min(FAR, screen(threshold))
     far = F.sum(F.when(F.col("agreement") < least, F.col("bands")).otherwise(0)).over(Window.partitionBy("id"))
     return rows.withColumn("far", far).where((F.col("agreement") >= least) | (F.col("far") > far_bands(threshold))).select("id", "centre")
 
 
-def across_components(stars: DataFrame, found: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def across_components(stars: DataFrame, found: DataFrame, corpus: _Corpus, threshold: float) -> DataFrame:
     """Candidate pairs (x, y) between different components among the members of the same stars (id, centre).
 
     With D the difference of a set from its centre's, two sets differ by |Di| + |Dj| - 2 |Di & Dj|; they are linked
@@ -251,11 +276,14 @@ def across_components(stars: DataFrame, found: DataFrame, docs: DataFrame, thres
     members = members.join(comp, F.col("centre") == F.col("of"), "left").select("centre", "id", "comp", (F.col("comp") != F.coalesce("component", "centre")).alias("minor"))
     members = cut(members)
     torn = members.where("minor").select("centre").distinct()
-    members = members.join(torn, "centre", "left_semi")
-    sets = _sets_of(members, docs)
-    both = members.join(sets, "id").join(sets.select(F.col("id").alias("centre"), F.col("keys").alias("centre_keys")), "centre")
-    rows = both.select("centre", "id", "comp", "minor", "keys", "centre_keys").mapInArrow(_differences, "centre long, id long, comp long, minor boolean, size long, centre_size long, diff array<long>, s0 long, s1 long, s2 long, s3 long")
-    rows = cut(rows)
+    members = cut(members.join(torn, "centre", "left_semi"))
+    sets = cut(corpus.sets(members))
+    of_centre = sets.select(F.col("id").alias("centre"), F.col("keys").alias("centre_keys"))
+    both = join_hot(members.join(sets, "id"), of_centre.join(members.select("centre").distinct(), "centre", "left_semi"), "centre", "id", members)
+    # The difference from the centre's set: added keys first, then removed ones, each in the same order everywhere.
+    diff = F.concat(F.array_except("keys", "centre_keys"), F.array_except("centre_keys", "keys"))
+    rows = both.select("centre", "id", "comp", "minor", F.size("keys").alias("size"), F.size("centre_keys").alias("centre_size"), diff.alias("diff"))
+    rows = cut(rows.withColumn("bits", _bits(F.col("diff"))).select("centre", "id", "comp", "minor", "size", "centre_size", "diff", "bits.*"))
     # Sizes of linked sets are within the threshold of each other, and within those of the star.
     sizes = rows.groupBy("centre").agg(F.min("size").alias("least"), F.max("size").alias("most"))
     rows = rows.join(sizes, "centre")
@@ -276,22 +304,14 @@ def across_components(stars: DataFrame, found: DataFrame, docs: DataFrame, thres
     return both.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def confirmed(pairs: DataFrame, corpus: _Corpus, threshold: float) -> DataFrame:
     """The pairs (x, y) whose full shingle sets have at least that Jaccard index."""
-    sets = _sets_of(pairs.select(F.explode(F.array("x", "y")).alias("id")), docs)
+    sets = cut(corpus.sets(pairs.select(F.explode(F.array("x", "y")).alias("id"))))
     a, b = sets.select(F.col("id").alias("x"), F.col("keys").alias("xs")), sets.select(F.col("id").alias("y"), F.col("keys").alias("ys"))
-    percent = round(100 * threshold)
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for p, q in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-                both = len(p) + len(q) - len(np.union1d(p, q)) if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) else 0
-                keep.append(both > 0 and 100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["x", "y"])
-
-    return pairs.join(a, "x").join(b, "y").select("x", "y", "xs", "ys").mapInArrow(compare, "x long, y long")
+    percent, nx, ny = round(100 * threshold), F.size("xs"), F.size("ys")
+    rows = join_hot(join_hot(pairs, a, "x", "y"), b, "y", "x", pairs).where(100 * F.least(nx, ny) >= percent * F.greatest(nx, ny))
+    both = F.size(F.array_intersect("xs", "ys"))
+    return rows.select("x", "y", both.alias("both"), (nx + ny).alias("n")).where((F.col("both") > 0) & (100 * F.col("both") >= percent * (F.col("n") - F.col("both")))).select("x", "y")
 
 
 # --- components -------------------------------------------------------------------------------------------------------
@@ -299,8 +319,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
     """id, component (its smallest id) of each id in links (x, y), by alternating large and small stars."""
     edges = cut(links.where("x != y").select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v")).distinct())
-    before = None
     for _ in range(max_rounds):
+        # Done when edges are stars: no end of one is the start of another, and none starts two.
+        ends = edges.select(F.col("u").alias("k"), F.lit(1).alias("starts"), F.lit(0).alias("ended")).unionByName(edges.select(F.col("v").alias("k"), F.lit(0).alias("starts"), F.lit(1).alias("ended")))
+        ends = ends.groupBy("k").agg(F.sum("starts").alias("starts"), F.max("ended").alias("ended"))
+        if ends.where("starts > 1 or (starts = 1 and ended = 1)").isEmpty():
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         # Large star: each node's greater neighbours go to its least neighbour or itself.
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -308,50 +332,89 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
         # Small star: each node and its lesser neighbours go to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        edges = cut(small)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == before:
-            break
-        before = now
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-
-
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = rows.mapInArrow(_signed_rows, "doc_id long, n_shingles long, a long, b long, sig binary")
-    signed = cut(signed)
-    # One document of each class of equal sets; null ids and empty sets are in none.
+        before, edges = edges, cut(small)
+        drop(before)
+    raise RuntimeError("components did not settle")
+
+
+def _nodes(classes: DataFrame) -> tuple[DataFrame, bool]:
+    """classes (n_shingles, a, b, first, sig) with a node id each, and whether some ids aren't just `first`."""
+    plain = classes.withColumn("id", F.col("first"))
+    many = cut(classes.groupBy("first").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("first"))
+    if many.isEmpty():
+        return plain, False
+    # Of the classes that share their smallest doc_id the first keeps it; the others get numbers outside the range of doc_ids.
+    ends = classes.agg(F.min("first").alias("low"), F.max("first").alias("high")).first()
+    if ends["high"] >= 1 << 62 and ends["low"] <= -(1 << 62):
+        raise ValueError("doc_ids leave no room for numbers of their own")
+    nth = F.row_number().over(Window.partitionBy("first").orderBy("n_shingles", "a", "b"))
+    ranked = cut(classes.join(many, "first", "left_semi").withColumn("nth", nth))
+    more = F.monotonically_increasing_id()  # on a written copy, so that it doesn't change
+    own = F.lit(ends["high"]) + 1 + more if ends["high"] < 1 << 62 else F.lit(ends["low"]) - 1 - more
+    ranked = cut(ranked.withColumn("id", F.when(F.col("nth") == 1, F.col("first")).otherwise(own)).select(plain.columns))
+    return cut(plain.join(many, "first", "left_anti").select(plain.columns).unionByName(ranked)), True
+
+
+def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, mark, n_shingles, node (the component's; null without one), component_id for each row of docs; mark: a hash of the text."""
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"))
+    signed = cut(rows.mapInArrow(_signed_rows, "doc_id long, mark long, n_shingles long, a long, b long, sig binary"))
+    # One node for each class of equal sets; null ids and empty sets are in none.
     in_class = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = cut(in_class.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("first")))
-    firsts = in_class.select(F.col("doc_id").alias("id"), "sig").join(classes.select(F.col("first").alias("id")), "id", "left_semi").dropDuplicates(["id"])
+    nodes, renamed = _nodes(cut(in_class.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig"))))
+    corpus = _Corpus(rows.select("doc_id", "text"), nodes.select("id", "first", "a", "b") if renamed else None)
+    firsts = nodes.select("id", "sig")
     # A band's value is its 8 * ROWS bits of bytes; only what shares a bucket meets its signature again.
     part = [F.struct(F.lit(k).alias("band"), F.xxhash64(F.substring("sig", 2 * ROWS * k + 1, 2 * ROWS)).alias("key")) for k in range(BANDS)]
     keys = firsts.select("id", F.explode(F.array(*part)).alias("at")).select("at.band", "at.key", "id")
-    members = F.count(F.lit(1)).over(Window.partitionBy("band", "key"))
-    shared = cut(keys.withColumn("members", members).where("members > 1"))
+    members = cut(keys.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    shared = cut(keys.join(members, ["band", "key"]))
     large = shared.where(F.col("members") > SMALL).groupBy("id").agg(F.expr("bit_or(shiftleft(1L, band))").alias("large"))
     small = shared.where(F.col("members") <= SMALL).join(firsts, "id").join(large, "id", "left").select("band", "key", "id", "sig", F.coalesce("large", F.lit(0).cast("long")).alias("large"))
     small = small.repartition("band", "key").sortWithinPartitions("band", "key", "id").mapInArrow(_small_buckets(screen(threshold)), "x long, y long")
-    stars = cut(_near_stars(_stars(shared.where(F.col("members") > SMALL), shared), firsts, threshold))
+    stars = cut(_near_stars(cut(_stars(shared.where(F.col("members") > SMALL), shared)), firsts, threshold))
     pairs = cut(small.unionByName(stars.select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y"))).distinct())
-    links = cut(confirmed(pairs, rows, threshold))
+    links = cut(confirmed(pairs, corpus, threshold))
     found = components(links)
-    more = cut(across_components(stars, found, rows, threshold))
+    more = cut(across_components(stars, found, corpus, threshold))
     if not more.isEmpty():
-        found = components(cut(links.unionByName(confirmed(more, rows, threshold))))
-    release(docs.sparkSession)
-    by_class = cut(classes.join(found, F.col("first") == F.col("id"), "left").select("n_shingles", "a", "b", F.coalesce("component", "first").alias("component_id")))
+        found = components(cut(links.unionByName(confirmed(more, corpus, threshold))))
+    by_class = nodes.drop("sig").join(found, "id", "left").withColumn("node", F.coalesce("component", "id"))
+    if renamed:
+        # A component's smallest doc_id is that of its classes, whatever their nodes are called.
+        by_class = cut(by_class)
+        odd = by_class.where("id <> first").select("node").distinct()
+        least = by_class.join(odd, "node", "left_semi").groupBy("node").agg(F.min("first").alias("least"))
+        by_class = by_class.join(least, "node", "left").withColumn("component_id", F.coalesce("least", "node"))
+    else:
+        by_class = by_class.withColumn("component_id", F.col("node"))
+    by_class = cut(by_class.select("n_shingles", "a", "b", "node", "component_id"))
     own = signed.drop("sig").join(by_class, ["n_shingles", "a", "b"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return own.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    has = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return own.select("doc_id", "mark", "n_shingles", F.when(has, F.col("node")).alias("node"), F.when(has, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def near_groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs."""
+    return _grouped(docs, threshold).select("doc_id", "n_shingles", "component_id").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def near_dedup(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs without all but one of each component; columns as they come."""
-    kept = near_groups(docs, threshold).where("kept").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__tm_id")).distinct()
-    rows = docs.withColumn("__tm_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).join(kept, "__tm_id", "left_semi")
-    once = F.when(F.col("doc_id").isNull(), F.lit(1)).otherwise(F.row_number().over(Window.partitionBy("__tm_id").orderBy(F.length("text"))))
-    return rows.withColumn("__tm_n", once).where("__tm_n = 1").drop("__tm_id", "__tm_n")
+    """The rows of docs without all but one of each component; columns as they come.
+
+    A component keeps the row of its smallest doc_id, of the least `mark` if that repeats with several texts, and of
+    the least hash of all columns if rows are alike.
+    """
+    groups = cut(_grouped(docs, threshold).where("doc_id is not null"))
+    best = groups.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("best")).select("best.*")
+    kept = cut(best.unionByName(groups.where("node is null").select("doc_id", "mark")).distinct())
+    copies = groups.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
+    # Rows without an id stay as they are; they don't meet at one key.
+    ident, mark = F.col("doc_id").cast("long"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    named = docs.where(ident.isNotNull()).withColumns({"__tm_id": ident, "__tm_mark": mark})
+    rows = named.join(kept.select(F.col("doc_id").alias("__tm_id"), F.col("mark").alias("__tm_mark")), ["__tm_id", "__tm_mark"], "left_semi")
+    if not copies:
+        once = F.row_number().over(Window.partitionBy("__tm_id", "__tm_mark").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+        rows = rows.withColumn("__tm_n", once).where("__tm_n = 1").drop("__tm_n")
+    return rows.drop("__tm_id", "__tm_mark").unionByName(docs.where(ident.isNull()))

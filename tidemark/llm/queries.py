@@ -59,7 +59,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(_table(spark, sf_dir, "documents"))
+    return near_dedup.near_groups(_table(spark, sf_dir, "documents"), 0.85)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
