@@ -1,4 +1,5 @@
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -16,22 +17,26 @@ def brute_force(rows):
     c1 = Counter(w for t in train for w in t)
     c2 = Counter(p for t in train for p in zip(t, t[1:], strict=False))
     n, v = sum(c1.values()), len(c1)
-    p1 = lambda w: (c1[w] + 1) / (n + v + 1)
-    d = katz_lm.good_turing(Counter(c2.values()))
+    d1, d2 = katz_lm.good_turing(Counter(c1.values())), katz_lm.good_turing(Counter(c2.values()))
+    d = lambda table, c: table.get(c, c / (c + 1))
+    unknown = 1 - sum(d(d1, c) * c for c in c1.values()) / n if n else 1.0
+    p1 = lambda w: d(d1, c1[w]) * c1[w] / n if c1[w] else unknown
+    base = lambda w: (c1[w] + 1) / (n + v + 1)
+    assert sum(map(p1, c1)) + p1(("unknown",)) == pytest.approx(1, abs=1e-9)
     seen = defaultdict(dict)
     for (h, w), c in c2.items():
-        if c >= katz_lm.MIN_COUNT:
-            seen[h][w] = d.get(c, 1.0) * c / c1[h]
+        seen[h][w] = d(d2, c) * c / c1[h]
     alpha = {h: (1 - sum(s.values())) / (1 - sum(map(p1, s))) for h, s in seen.items()}
-    for h, s in seen.items():  # exactly normalised over known words and the unknown one
-        assert sum(s.values()) + alpha[h] * (sum(p1(w) for w in c1 if w not in s) + 1 / (n + v + 1)) == pytest.approx(1)
+    assert min(alpha.values(), default=1) > 0  # no history without a rest
+    for h, s in list(seen.items())[:: len(seen) // 50 + 1]:  # exactly normalised over known words and the unknown one
+        assert sum(s.values()) + alpha[h] * (sum(p1(w) for w in c1 if w not in s) + unknown) == pytest.approx(1, abs=1e-9)
     out = []
     for i, (doc, text) in enumerate(rows):
         t = split(text)
         total = math.log10(p1(t[0]))
         for h, w in zip(t, t[1:], strict=False):
-            total += math.log10(seen[h][w]) if w in seen.get(h, ()) else math.log10(max(alpha.get(h, 1.0), 1e-12) * p1(w))
-        out.append((doc, held[i], len(t), sum(c1[w] > 0 for w in t), n, sum(math.log10(p1(w)) for w in t), total))
+            total += math.log10(seen[h][w]) if w in seen.get(h, ()) else math.log10(alpha.get(h, 1.0) * p1(w))
+        out.append((doc, held[i], len(t), sum(c1[w] > 0 for w in t), n, sum(math.log10(base(w)) for w in t), total))
     return out
 
 
@@ -66,6 +71,15 @@ def test_empty(spark):
 
 
 def test_pairs_seen_once_are_in_the_model(spark):
-    """Both pairs of "q z" and its end were seen once and have all of their history's mass: only P1(q) = 2 / 7 is left."""
+    """All counts are 1 and too thin for Good-Turing, so that half of each goes: P1(q) = 1/6, and both pairs keep 1/2."""
     got = katz_lm.score(spark.createDataFrame([(None, "q z")], "doc_id long, text string")).first()
-    assert got["score"] == pytest.approx(math.log10(2 / 7))
+    assert got["score"] == pytest.approx(math.log10(1 / 6 / 2 / 2))
+
+
+def test_long_text_and_blocks(spark, monkeypatch):
+    """A text longer than a block, texts over several blocks and chunks, and many slices."""
+    monkeypatch.setattr(katz_lm, "BLOCK", 3000)
+    monkeypatch.setattr(katz_lm, "CHUNK", 64)
+    draw = random.Random(2)
+    text = lambda n: " ".join(f"w{int(draw.paretovariate(0.7))}" for _ in range(n))
+    check(spark, [(0, text(20_000))] + [(i, text(draw.randint(0, 60))) for i in range(1, 120)])

@@ -1,38 +1,38 @@
 """Scoring by a Katz back-off bigram model with Good-Turing discounts, learned from the corpus.
 
-Tokens are words (A-Z lower-cased) and one end a text. With c the counts of training tokens:
+Tokens are words (A-Z lower-cased) and one end a text. With c the counts of training tokens and pairs:
 
-    P1(w)      = (c(w) + 1) / (N + V + 1), the unknown word being one with c = 0
-    P(w | h)   = d * c(h, w) / c(h)     if the pair was seen
+    P1(w)      = d1 * c(w) / N          if the word was seen; what these leave goes to the unknown word
+    P(w | h)   = d2 * c(h, w) / c(h)    if the pair was seen
                = alpha(h) * P1(w)       else
 
-A text's first token has P1. d is Good-Turing's for counts up to GT_MAX, from the corpus's counts of
-counts. alpha(h) is what d leaves, over what P1 leaves to unseen words: all probabilities after h
-add up to exactly 1.
+A text's first token has P1. d1 and d2 are Good-Turing's for counts up to GT_MAX, from the corpus's counts of counts of words
+and of pairs; where these give none between 0 and 1, and for greater counts, one in c + 1 is taken, so that every history leaves
+something. alpha(h) is what d2 leaves over what P1 leaves to words unseen after h: all probabilities after h
+add up to exactly 1, without a floor. All pairs seen are in the model.
 
-How it runs. Word pairs of 100 TB are too many to send with every occurrence, so tasks read texts block by block
-and send packed arrays: for each partition of the key space one row with the block's distinct keys and
-their counts or documents.
+How it runs. Word pairs of 100 TB are too many to send with every occurrence, so tasks read texts block by block and send packed
+arrays: for each partition of the words one row with the block's pairs (history, word).
 
-1. Words are counted (one row a distinct word and task).
-2. Pairs are counted from packed rows; pairs that count go into a table with their history's count,
-   discounts and back-off weights are derived from it by joins, and it becomes a table of log-probabilities packed by key partition.
-3. Texts are read again; occurrences meet the table's partition, which returns sums for each document.
+1. Words are counted (one row a distinct word and block).
+2. Pairs are counted by their word's partition, where c(w) is known too, and kept as a table of packed rows, one a partition.
+   From it come the counts of counts, and by a sum over histories the weights alpha: a table by history's partition.
+3. Texts are read again, a slice of them at a time, and their pairs meet the table of pairs. As c(h) is also h's count as a word, each
+   word subtracts its own log10 c where it stands. Pairs that were not seen back off: they get P1(w) there, and go on to the
+   table of weights with their history, nobody else does. Sums return by block.
 
 Words and pairs that make up over 1 in HOT of all tokens (at most HOT of each kind, a proven bound) are
-known to every task: no partition is swamped by "the". The number of partitions follows the corpus.
-Keys are 63-bit hashes of words and pairs.
+known to every task; the pairs of a hot word are dealt by pair. So no partition is swamped by "the". The number of partitions
+follows the corpus. Keys are 63-bit hashes of words and pairs.
 
 Defined cases: null and empty texts are just the end; repeated rows are learned and scored each; with no training
-text every token is unknown and N is 0; empty tables give no rows; long texts are read whole; other columns are not
-read; a null doc_id is in the training fold.
+text every token is unknown, with probability 1, and N is 0; empty tables give no rows; long texts are read whole (one is a block of its own); other columns,
+of whatever name, are not read; a null doc_id is in the training fold. The tables of the last two steps stay in the checkpoint folder, as the result reads them.
 """
 
 from __future__ import annotations
 
 import math
-import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,18 +40,16 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import TextBlock, as_bytes, blocks, ensure_checkpoint_dir, mix64, release
+from .common import TextBlock, drop, mix64, text_blocks, written
 
 FOLDS, TEST_FOLD = 7, 2
-MIN_COUNT, GT_MAX = 1, 5
+GT_MAX = 5
 HOT = 10_000
-#: Bytes of text in a block, and tokens for each partition of the key space.
-BLOCK, TOKENS_PER_PARTITION = 8 << 20, 4_000_000
-#: Size of the filter of pairs that count: fixed, so that it can go to every task; log2 of its bits.
-FILTER_BITS = 27
+#: Bytes of text in a block; tokens for each partition of the words; tokens a task looks up at once; slices of the texts scored one after the other.
+BLOCK, TOKENS_PER_PARTITION, CHUNK, SLICES = 2 << 20, 2_000_000, 1 << 18, 2
 _MASK = np.uint64((1 << 63) - 1)
-_END = np.uint64(0x1D2C3B4A59687706)
-WORD, ALPHA, PAIR, DOC = 0, 1, 2, 3
+_END, _START = np.uint64(0x1D2C3B4A59687706), np.uint64(0x2B7E151628AED2A6)
+PAIRS, DOCS, SUMS, BACK = 0, 1, 2, 3
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
@@ -69,10 +67,15 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return tok, doc
 
 
-def pairs(tok: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the first tokens of pairs, and the pairs' keys."""
-    at = np.flatnonzero(doc[1:] == doc[:-1])
-    return at, mix64(mix64(tok[at]) + tok[at + 1]) & _MASK
+def histories(tok: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """The token before each; _START before a text's first."""
+    h = np.append(_START, tok[:-1])
+    h[1:][doc[1:] != doc[:-1]] = _START
+    return h
+
+
+def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix64(mix64(h) + w) & _MASK
 
 
 def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,267 +100,332 @@ class _Hot:
         return self.keys[at] == x, at
 
 
-class _Filter:
-    """Says no for most keys that aren't in a set, whatever the set's size; with more keys than bits it lets all pass."""
+def _find(sorted_: np.ndarray, x: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each x among sorted keys, 0 where it isn't one."""
+    if not len(sorted_):
+        return np.zeros(len(x), values.dtype)
+    at = np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)
+    return np.where(sorted_[at] == x, values[at], values.dtype.type(0))
+
+
+# --- the model's numbers ----------------------------------------------------------------------------------------------
+
+def good_turing(n_r: dict[int, int]) -> dict[int, float]:
+    """Discounts of counts 1 to GT_MAX; one in r + 1 is taken where the counts of counts are too thin to tell."""
+    n = lambda r: float(n_r.get(r, 0))
+    out = {}
+    for r in range(1, GT_MAX + 1):
+        d = 1.0
+        if n(1) > 0 and n(r) > 0:
+            common = (GT_MAX + 1) * n(GT_MAX + 1) / n(1)
+            d = ((r + 1) * n(r + 1) / (r * n(r)) - common) / (1 - common) if common != 1 else 1.0
+        out[r] = d if 0.0 < d < 1.0 else r / (r + 1)
+    return out
+
 
-    def __init__(self, bits: np.ndarray | None = None):
-        self.bits = np.zeros(1 << (FILTER_BITS - 3), dtype=np.uint8) if bits is None else bits
+def discounted(c: np.ndarray, discounts: dict[int, float]) -> np.ndarray:
+    """d * c of each count; 0 for 0."""
+    c = c.astype(float)
+    small = np.array([0.0, *(discounts[r] for r in range(1, GT_MAX + 1))])
+    return np.where(c <= GT_MAX, small[np.minimum(c, GT_MAX).astype(np.int64)], c / (c + 1)) * c
 
-    @staticmethod
-    def _places(keys: np.ndarray) -> Iterator[np.ndarray]:
-        yield (keys >> np.uint64(63 - FILTER_BITS)).astype(np.int64)
-        yield (mix64(keys) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
 
-    def add(self, keys: np.ndarray) -> None:
-        for at in self._places(keys):
-            np.bitwise_or.at(self.bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+class _Words:
+    """What all tasks know of words: discounts, hot counts, and the unknown word's probability."""
 
-    def may_have(self, keys: np.ndarray) -> np.ndarray:
-        a, b = ((self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 for at in self._places(keys))
-        return (a & b).view(bool)
+    def __init__(self, hot: _Hot, discounts: dict[int, float], n: int, mass: int, unknown: float):
+        self.hot, self.discounts, self.n, self.mass, self.unknown = hot, discounts, n, mass, unknown
 
+    def counts(self, w: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """c(w): the hot word's, else what the partition counted itself."""
+        is_hot, place = self.hot.find(w)
+        return np.where(is_hot, self.hot.values["c"][place] if len(self.hot.keys) else 0, own).astype(np.int64)
 
-def _filter_of(keys: DataFrame, fan: int = 8) -> _Filter:
-    """The filter of a column of keys: one for each task, joined by a tree of unions."""
+    def p1(self, c: np.ndarray) -> np.ndarray:
+        return np.where(c > 0, discounted(c, self.discounts) / max(self.n, 1), self.unknown)
 
-    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = _Filter()
-        for batch in batches:
-            f.add(np.array(batch.column(0)).view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([zlib.compress(f.bits.tobytes(), 1)], pa.binary())], names=["k", "bits"])
-
-    def union(table: pa.Table) -> pa.Table:
-        f = _Filter()
-        for x in table.column("bits"):
-            f.bits |= np.frombuffer(zlib.decompress(x.as_py()), np.uint8)
-        return pa.table({"k": table.column("k")[:1], "bits": pa.array([zlib.compress(f.bits.tobytes(), 1)], pa.binary())})
-
-    rows, n = keys.mapInArrow(part, "k long, bits binary"), keys.rdd.getNumPartitions()
-    while n > 1:
-        rows = rows.groupBy(F.floor(F.col("k") / fan).alias("g")).applyInArrow(union, "k long, bits binary").withColumn("k", F.floor(F.col("k") / fan))
-        n = -(-n // fan)
-    out = _Filter()
-    for r in rows.collect():
-        out.bits |= np.frombuffer(zlib.decompress(r["bits"]), np.uint8)
-    return out
+    def base(self, c: np.ndarray) -> np.ndarray:
+        return np.log10((c + 1) / self.mass)
 
 
 # --- the tasks --------------------------------------------------------------------------------------------------------
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = as_bytes(batch.column(0))
-        for i, j in blocks(texts, BLOCK):
-            keys, n = np.unique(tokens(texts[i:j])[0], return_counts=True)
+        for _, _, texts in text_blocks(batch.column(0), BLOCK):
+            keys, n = np.unique(tokens(texts)[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
 
 
+def _parts(h: np.ndarray, w: np.ndarray, hot: _Hot, partitions: int) -> np.ndarray:
+    """A word's pairs are together, unless it is hot."""
+    return (np.where(hot.find(w)[0], pair_key(h, w), w) % np.uint64(partitions)).astype(np.int32)
+
+
+def _packed_pairs(part: np.ndarray, w: np.ndarray, h: np.ndarray, last: np.ndarray) -> Iterator[tuple]:
+    """part, words, pairs a word, histories and last of rows sorted by part and word."""
+    first, sizes = _runs(part)
+    for a, size in zip(first.tolist(), sizes.tolist(), strict=True):
+        b = a + size
+        begins, lengths = _runs(w[a:b])
+        yield int(part[a]), w[a:b][begins].tobytes(), lengths.astype(np.uint32).tobytes(), h[a:b].tobytes(), last[a:b].tobytes()
+
+
 def _send_pairs(partitions: int, hot: _Hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = as_bytes(batch.column(0))
-            for i, j in blocks(texts, BLOCK):
-                tok, doc = tokens(texts[i:j])
-                at, key = pairs(tok, doc)
-                h, w = tok[at], tok[at + 1]
-                # A history's pairs are together, unless it is hot.
-                part = np.where(hot.find(h)[0], key, h) % np.uint64(partitions)
-                order = np.lexsort((w, h, part))
+            for _, _, texts in text_blocks(batch.column(0), BLOCK):
+                w, doc = tokens(texts)
+                h = histories(w, doc)
+                part = _parts(h, w, hot, partitions)
+                order = np.lexsort((h, w, part))
                 h, w, part = h[order], w[order], part[order]
-                new = np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])) if len(h) else np.zeros(0, bool)
-                begin = np.flatnonzero(new)
+                begin = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
                 n = np.diff(np.append(begin, len(h))).astype(np.uint32)
-                h, w, part = h[begin], w[begin], part[begin]
-                first, sizes = _runs(part)
-                rows = []
-                for a, size in zip(first.tolist(), sizes.tolist(), strict=True):
-                    b = a + size
-                    begins, lengths = _runs(h[a:b])
-                    rows.append((int(part[a]), h[a:b][begins].tobytes(), lengths.astype(np.uint32).tobytes(), w[a:b].tobytes(), n[a:b].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(5)], names=["part", "h", "runs", "w", "n"])
+                rows = list(_packed_pairs(part[begin], w[begin], h[begin], n))
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int32() if k == 0 else pa.binary()) for k in range(5)], names=["part", "w", "runs", "h", "n"])
 
     return run
 
 
+def _unpack(w: bytes, runs: bytes, h: bytes, last: bytes, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.repeat(np.frombuffer(w, np.uint64), np.frombuffer(runs, np.uint32)), np.frombuffer(h, np.uint64), np.frombuffer(last, kind)
+
+
+_COUNTED = "part int, w binary, runs binary, h binary, c binary, n_r array<long>"
+
+
 def _count_pairs(table: pa.Table) -> pa.Table:
-    """Packed rows of one partition to its pairs that count, and its counts of counts (those have w = -1)."""
-    h, w, n = [], [], []
-    for a, r, b, c in zip(*(table.column(k).to_pylist() for k in ("h", "runs", "w", "n")), strict=True):
-        h.append(np.repeat(np.frombuffer(a, np.uint64), np.frombuffer(r, np.uint32)))
-        w.append(np.frombuffer(b, np.uint64))
-        n.append(np.frombuffer(c, np.uint32))
-    h, w, n = np.concatenate(h), np.concatenate(w), np.concatenate(n)
-    order = np.lexsort((w, h))
-    h, w, n = h[order], w[order], n[order].astype(np.int64)
+    """Packed rows of one partition to one row of its pairs and their counts, and its counts of counts."""
+    rows = [_unpack(*(table.column(k)[i].as_py() for k in ("w", "runs", "h", "n")), np.uint32) for i in range(table.num_rows)]
+    w, h, n = (np.concatenate([r[k] for r in rows]) for k in range(3))
+    del rows
+    order = np.lexsort((h, w))
+    w, h, n = w[order], h[order], n[order]
     begin = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])))
-    c = np.add.reduceat(n, begin)
-    h, w = h[begin], w[begin]
-    own, sizes = _runs(h)
-    of_h = np.repeat(np.add.reduceat(c, own), sizes)
-    r = np.arange(1, GT_MAX + 2)
-    n_r = np.bincount(np.minimum(c, GT_MAX + 2), minlength=GT_MAX + 3)[1 : GT_MAX + 2]
-    keep = c >= MIN_COUNT
-    key = (mix64(mix64(h[keep]) + w[keep]) & _MASK).view(np.int64)
-    none = np.full(len(r), -1, np.int64)
-    columns = (np.concatenate([key, none]), np.concatenate([h[keep].view(np.int64), r]), np.concatenate([w[keep].view(np.int64), none]), np.concatenate([c[keep], n_r]), np.concatenate([of_h[keep], none]))
-    return pa.table(dict(zip(("key", "h", "w", "c", "c_h"), (pa.array(x, pa.int64()) for x in columns), strict=True)))
-
-
-def _send_texts(partitions: int, hot_words: _Hot, hot_pairs: _Hot, counting):
-    """For each block and partition the keys that occur and their documents; and a row for the documents themselves."""
+    c = np.add.reduceat(n.astype(np.int64), begin)
+    w, h = w[begin], h[begin]
+    n_r = np.bincount(np.minimum(c[h != _START], GT_MAX + 2), minlength=GT_MAX + 3)[: GT_MAX + 2]
+    ((part, *packed),) = _packed_pairs(np.zeros(len(w), np.int32), w, h, c.astype(np.uint32))
+    columns = [table.column("part")[:1].combine_chunks(), *(pa.array([x], pa.binary()) for x in packed), pa.array([n_r.tolist()], pa.list_(pa.int64()))]
+    return pa.table(dict(zip(("part", "w", "runs", "h", "c", "n_r"), columns, strict=True)))
+
+
+def _own_counts(runs: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """How often each word of a partition stands there: its pairs' counts."""
+    return np.add.reduceat(c.astype(np.int64), np.cumsum(runs, dtype=np.int64) - runs) if len(runs) else np.zeros(0, np.int64)
+
+
+def _history_sums(words: _Words, discounts: dict[int, float]):
+    """Rows of counted pairs to sums by history: what its pairs keep and have, and the P1 of their words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                w, runs, h, c = (np.frombuffer(batch.column(k)[i].as_py(), t) for k, t in enumerate((np.uint64, np.uint32, np.uint64, np.uint32)))
+                p1 = np.repeat(words.p1(words.counts(w, _own_counts(runs, c))), runs)
+                some = np.flatnonzero(h != _START)
+                some = some[np.argsort(h[some])]
+                h, c, p1 = h[some], c[some], p1[some]
+                begin, _ = _runs(h)
+                add = lambda x: np.add.reduceat(x, begin) if len(begin) else x
+                yield pa.RecordBatch.from_arrays([pa.array(h[begin].view(np.int64)), pa.array(add(discounted(c, discounts))), pa.array(add(c.astype(np.int64))), pa.array(add(p1))], names=["h", "kept", "total", "lower"])
+
+    return run
+
+
+def _hot_pairs(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                w, h, c = _unpack(*(batch.column(k)[i].as_py() for k in range(4)), np.uint32)
+                at = np.flatnonzero(c >= least)
+                yield pa.RecordBatch.from_arrays([pa.array(x[at].view(np.int64)) for x in (w, h)] + [pa.array(c[at].astype(np.int64))], names=["w", "h", "c"])
+
+    return run
+
+
+_SENT = "part int, kind int, block long, w binary, runs binary, h binary, docs binary"
+
+
+def _send_texts(partitions: int, words: _Words, hot_pairs: _Hot):
+    """For each block and partition the pairs that occur and their documents; and a row for the documents themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n_blocks = TaskContext.get().partitionId(), 0
-        pairs_that_count = _Filter(np.frombuffer(zlib.decompress(counting.value), np.uint8))
         for batch in batches:
-            ids, held, texts = batch.column(0), batch.column(1), as_bytes(batch.column(2))
-            for i0, j0 in blocks(texts, BLOCK):
+            for i0, j0, held in text_blocks(batch.column(2), BLOCK):
                 for i in range(i0, j0, 1 << 16):
                     j = min(j0, i + (1 << 16))
-                    block, n_blocks = (task << 24) + n_blocks, n_blocks + 1
-                    tok, doc = tokens(texts[i:j])
-                    at, key = pairs(tok, doc)
-                    some = pairs_that_count.may_have(key)
-                    at, key = at[some], key[some]
-                    sums = np.zeros((3, j - i))  # log10 P1, all else, known tokens
-                    rows: list[tuple] = []
-                    for kind, k, d, hot in ((WORD, tok, doc, hot_words), (PAIR, key, doc[at], hot_pairs)):
-                        is_hot, place = hot.find(k)
-                        if kind == WORD:
-                            sums[0] += np.bincount(d[is_hot], hot.values["p"][place[is_hot]], j - i) if len(hot.keys) else 0
-                            sums[2] += np.bincount(d[is_hot], minlength=j - i)
-                        if len(hot.keys):
-                            sums[1] += np.bincount(d[is_hot], hot.values["more"][place[is_hot]], j - i)
-                        k, d = k[~is_hot], d[~is_hot]
-                        part = k % np.uint64(partitions)
-                        order = np.lexsort((k, part))
-                        k, d, part = k[order], d[order].astype(np.uint16), part[order]
-                        first, sizes = _runs(part)
-                        for a, size in zip(first.tolist(), sizes.tolist(), strict=True):
-                            begins, lengths = _runs(k[a : a + size])
-                            rows.append((int(part[a]), kind, block, k[a : a + size][begins].tobytes(), lengths.astype(np.uint32).tobytes(), d[a : a + size].tobytes()))
-                    n = np.bincount(doc, minlength=j - i)
-                    about = np.stack([n.astype(float), sums[0], sums[1], sums[2]]).tobytes()
-                    rows.append((block % partitions, DOC, block, np.array(ids.slice(i, j - i).fill_null(0)).astype(np.int64).tobytes(), np.array(ids.slice(i, j - i).is_null()).astype(np.uint8).tobytes() + np.array(held.slice(i, j - i)).astype(np.uint8).tobytes(), about))
-                    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["part", "kind", "block", "a", "b", "c"])
+                    block, n_blocks, m = (task << 32) + n_blocks, n_blocks + 1, j - i
+                    w, doc = tokens(held[i - i0 : j - i0])
+                    h = histories(w, doc)
+                    sums = np.zeros((4, m))  # tokens, base, score, known
+                    sums[0] = np.bincount(doc, minlength=m)
+                    is_hot, place = hot_pairs.find(pair_key(h, w))
+                    if is_hot.any():
+                        c = words.counts(w[is_hot], np.zeros(int(is_hot.sum())))
+                        for k, x in ((1, words.base(c)), (2, hot_pairs.values["score"][place[is_hot]]), (3, c > 0)):
+                            sums[k] = np.bincount(doc[is_hot], x, m)
+                        w, h, doc = w[~is_hot], h[~is_hot], doc[~is_hot]
+                    part = _parts(h, w, words.hot, partitions)
+                    order = np.lexsort((w, part))
+                    rows = [(p, PAIRS, block, *packed) for p, *packed in _packed_pairs(part[order], w[order], h[order], doc[order].astype(np.uint16))]
+                    ids, folds = batch.column(0).slice(i, m), batch.column(1).slice(i, m)
+                    flags = np.stack([np.array(ids.is_null()), np.array(folds)]).astype(np.uint8)
+                    rows.append((block % partitions, DOCS, block, np.array(ids.fill_null(0)).astype(np.int64).tobytes(), flags.tobytes(), sums.tobytes(), b""))
+                    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=["part", "kind", "block", "w", "runs", "h", "docs"])
 
     return run
 
 
-_SUMS = "block long, place int, doc_id long, held_out boolean, n_tokens long, base double, more double, known long"
+def _seen_scores(w: np.ndarray, c_w: np.ndarray, c: np.ndarray, discounts: dict[int, float]) -> np.ndarray:
+    """What seen pairs add: log10(d * c), and what every word but the end subtracts as the next one's history."""
+    out = np.zeros(len(c))
+    np.log10(discounted(c, discounts), out=out, where=c > 0)
+    after = (w != _END) & (c_w > 0)
+    out[after] -= np.log10(c_w[after])
+    return out
+
+
+_FOUND = "kind int, part int, block long, a binary, b binary, c binary"
 
 
-def _look_up(unknown: float):
+def _found(rows: list[tuple]) -> pa.Table:
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.table({name: pa.array([r[k] for r in rows], t) for k, (name, t) in enumerate(zip(("kind", "part", "block", "a", "b", "c"), types, strict=True))})
+
+
+def _sums_by_doc(rows: list[int], docs: list[np.ndarray], values: list[np.ndarray]) -> Iterator[tuple[bytes, bytes]]:
+    """For each row its documents and the sums of each of values over them; docs: one array a row, values over all of them."""
+    sizes = np.array([int(d.max()) + 1 for d in docs])
+    at = np.repeat(np.cumsum(sizes) - sizes, [len(d) for d in docs]) + np.concatenate(docs)
+    total = int(sizes.sum())
+    n = np.bincount(at, minlength=total)
+    sums = [np.bincount(at, x, total) for x in values]
+    for begin, size in zip((np.cumsum(sizes) - sizes).tolist(), sizes.tolist(), strict=True):
+        some = np.flatnonzero(n[begin : begin + size])
+        yield some.astype(np.uint16).tobytes(), np.stack([x[begin + some] for x in sums]).tobytes()
+
+
+def _look_up(partitions: int, words: _Words, discounts: dict[int, float], hot_back: _Hot):
+    """Sent pairs and the counted pairs of one partition to sums by document, and pairs that back off at their history's partition."""
+
     def run(sent: pa.Table, known: pa.Table) -> pa.Table:
-        table = {}
-        for kind in (WORD, ALPHA, PAIR):
-            rows = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.float64)) for k, a, b in zip(known.column("kind").to_pylist(), known.column("a").to_pylist(), known.column("b").to_pylist(), strict=True) if k == kind]
-            keys = np.concatenate([r[0] for r in rows]) if rows else np.zeros(0, np.uint64)
-            values = np.concatenate([r[1] for r in rows]) if rows else np.zeros(0)
-            order = np.argsort(keys)
-            table[kind] = (keys[order], values[order])
-
-        def value(kind: int, k: np.ndarray, default: float) -> tuple[np.ndarray, np.ndarray]:
-            keys, values = table[kind]
-            if not len(keys):
-                return np.full(len(k), default), np.zeros(len(k), bool)
-            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-            hit = keys[at] == k
-            return np.where(hit, values[at], default), hit
-
-        out: list[list[np.ndarray]] = []
-        for kind, block, a, b, c in zip(*(sent.column(k).to_pylist() for k in ("kind", "block", "a", "b", "c")), strict=True):
-            if kind == DOC:
-                ids, flags = np.frombuffer(a, np.int64), np.frombuffer(b, np.uint8)
-                m = len(ids)
-                n, p, more, known_n = np.frombuffer(c, np.float64).reshape(4, m)
-                out.append([np.full(m, block), np.arange(m), ids, flags[m:].astype(np.int64) + 2 * (1 - flags[:m].astype(np.int64)), n.astype(np.int64), p, more, known_n])
+        key, count, word, own = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for i in range(known.num_rows):  # one row at most
+            word, runs, h, c = (np.frombuffer(known.column(k)[i].as_py(), t) for k, t in (("w", np.uint64), ("runs", np.uint32), ("h", np.uint64), ("c", np.uint32)))
+            key, count, own = pair_key(h, np.repeat(word, runs)), c.astype(np.int64), _own_counts(runs, c)
+            order = np.argsort(key)
+            key, count = key[order], count[order]
+        out: list[tuple] = []
+        held: list[tuple] = []
+        kinds, blocks_ = sent.column("kind").to_pylist(), sent.column("block").to_pylist()
+        size = 0
+        for i, kind in enumerate(kinds):
+            a, b, c, d = (sent.column(k)[i].as_py() for k in ("w", "runs", "h", "docs"))
+            if kind == DOCS:
+                out.append((DOCS, 0, blocks_[i], a, b, c))
                 continue
-            keys, runs, docs = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32), np.frombuffer(c, np.uint16)
-            m = int(docs.max()) + 1 if len(docs) else 0
-            if kind == WORD:
-                p, hit = value(WORD, keys, unknown)
-                more, _ = value(ALPHA, keys, 0.0)
-                p, more, hit = (np.bincount(docs, np.repeat(x, runs), m) for x in (p, more, hit.astype(float)))
-            else:
-                more, hit = value(PAIR, keys, 0.0)
-                keep = np.repeat(hit, runs)
-                more = np.bincount(docs[keep], np.repeat(more, runs)[keep], m)
-                p = hit = np.zeros(m)
-            some = np.flatnonzero((p != 0) | (more != 0))
-            zero = np.zeros(len(some))
-            out.append([np.full(len(some), block), some, zero, zero, zero, p[some], more[some], hit[some]])
-        if out:
-            cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-            # One row a document, partition and block.
-            order = np.lexsort((cols[1], cols[0]))
-            begin = np.flatnonzero(np.append(True, (np.diff(cols[0][order]) != 0) | (np.diff(cols[1][order]) != 0)))
-            cols = [c[order][begin] if i < 2 else np.add.reduceat(c[order], begin) for i, c in enumerate(cols)]
-        else:
-            cols = [np.zeros(0, np.int64)] * 5 + [np.zeros(0)] * 3
-        flags = cols[3].astype(np.int64)
-        is_doc = cols[4] > 0
-        return pa.table({
-            "block": pa.array(cols[0].astype(np.int64)), "place": pa.array(cols[1].astype(np.int32)),
-            "doc_id": pa.array(cols[2].astype(np.int64), mask=~(is_doc & (flags >= 2))), "held_out": pa.array(flags % 2 == 1, mask=~is_doc),
-            "n_tokens": pa.array(cols[4].astype(np.int64)), "base": pa.array(cols[5]), "more": pa.array(cols[6]), "known": pa.array(cols[7].astype(np.int64)),
-        })
+            held.append((blocks_[i], *_unpack(a, b, c, d, np.uint16)))
+            size += len(held[-1][1])
+            if size >= CHUNK:
+                out += chunk(held, key, count, word, own)
+                held, size = [], 0
+        if held:
+            out += chunk(held, key, count, word, own)
+        return _found(out)
+
+    def chunk(held: list[tuple], key, count, word, own) -> list[tuple]:
+        rows, docs = [r[0] for r in held], [r[3] for r in held]
+        w, h = (np.concatenate([r[k] for r in held]) for k in (1, 2))
+        c_w = words.counts(w, _find(word, w, own))
+        first = h == _START
+        c = np.where(first, 0, _find(key, pair_key(h, w), count))
+        score = _seen_scores(w, c_w, c, discounts)
+        off = c == 0
+        score[off] += np.log10(words.p1(c_w[off]))
+        back = off & ~first
+        is_hot, place = hot_back.find(h)
+        near = np.flatnonzero(back & is_hot)
+        if len(near):
+            score[near] += hot_back.values["back"][place[near]]
+        out = [(SUMS, 0, block, d, s, None) for block, (d, s) in zip(rows, _sums_by_doc(rows, docs, [words.base(c_w), score, (c_w > 0).astype(float)]), strict=True)]
+        far = np.flatnonzero(back & ~is_hot)
+        if len(far):
+            row = np.repeat(np.arange(len(rows)), [len(d) for d in docs])[far]
+            part, h, doc = (h[far] % np.uint64(partitions)).astype(np.int64), h[far], np.concatenate(docs)[far]
+            order = np.lexsort((row, part))
+            part, row, h, doc = part[order], row[order], h[order], doc[order]
+            begin, sizes = _runs(part * len(rows) + row)
+            out += [(BACK, int(part[a]), rows[row[a]], h[a : a + n].tobytes(), doc[a : a + n].tobytes(), None) for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
+        return out
 
     return run
 
 
-# --- the model --------------------------------------------------------------------------------------------------------
+def _back_off(sent: pa.Table, known: pa.Table) -> pa.Table:
+    """Pairs that back off and the weights of one partition of histories to sums by document."""
+    keys = [np.frombuffer(x, np.uint64) for x in known.column("keys").to_pylist()]
+    values = [np.frombuffer(x, np.float64) for x in known.column("back").to_pylist()]
+    key, value = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (values, np.float64)))
+    order = np.argsort(key)
+    key, value = key[order], value[order]
+    out = []
+    for block, a, b in zip(*(sent.column(k).to_pylist() for k in ("block", "a", "b")), strict=True):
+        weight = _find(key, np.frombuffer(a, np.uint64), value)
+        ((docs, sums),) = _sums_by_doc([0], [np.frombuffer(b, np.uint16)], [np.zeros(len(weight)), weight, np.zeros(len(weight))])
+        out.append((SUMS, 0, block, docs, sums, None))
+    return _found(out)
+
 
-def _written(df: DataFrame) -> DataFrame:
-    """df as a table of files in the shared folder: columnar and compressed, for what is large."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/katz-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_DOCUMENTS = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _drop(written: DataFrame) -> None:
-    """Remove the files of a table that nothing reads any more."""
-    spark = written.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(written.inputFiles()[0].rsplit("/", 1)[0]) if written.inputFiles() else None
-    if path is not None:
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _sum_up(table: pa.Table) -> pa.Table:
+    """All rows of a block to a row a document."""
+    kinds = np.array(table.column("kind"))
+    at = int(np.flatnonzero(kinds == DOCS)[0])
+    ids = np.frombuffer(table.column("a")[at].as_py(), np.int64)
+    flags = np.frombuffer(table.column("b")[at].as_py(), np.uint8).reshape(2, len(ids))
+    n, *sums = np.frombuffer(table.column("c")[at].as_py(), np.float64).reshape(4, len(ids)).copy()
+    for i in np.flatnonzero(kinds == SUMS).tolist():
+        docs = np.frombuffer(table.column("a")[i].as_py(), np.uint16)
+        for total, x in zip(sums, np.frombuffer(table.column("b")[i].as_py(), np.float64).reshape(3, len(docs)), strict=True):
+            total[docs] += x
+    return pa.table({
+        "doc_id": pa.array(ids, mask=flags[0] == 1), "held_out": pa.array(flags[1] == 1), "n_tokens": pa.array(n.astype(np.int64)),
+        "n_known": pa.array(np.round(sums[2]).astype(np.int64)), "base_score": pa.array(sums[0]), "score": pa.array(sums[1]),
+    })
 
 
-def _packed(df: DataFrame, kind: int, value: str, partitions: int) -> DataFrame:
-    """part, kind, a, b: keys and values of df as arrays, some for each task and partition."""
+# --- the whole --------------------------------------------------------------------------------------------------------
+
+def _packed_weights(weights: DataFrame, partitions: int) -> DataFrame:
+    """part, keys, back: histories and their weights as arrays, some for each task and partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, values = [np.zeros(0, np.uint64)], [np.zeros(0)]
         for batch in batches:
-            keys.append(np.array(batch.column(0)).view(np.uint64))
-            values.append(np.array(batch.column(1)))
-        keys, values = np.concatenate(keys), np.concatenate(values)
-        part = keys % np.uint64(partitions)
-        order = np.argsort(part, kind="stable")
-        first, sizes = _runs(part[order])
-        at = [order[a : a + n] for a, n in zip(first.tolist(), sizes.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array([int(part[x[0]]) for x in at], pa.int32()), pa.array([kind] * len(at), pa.int32()), pa.array([keys[x].tobytes() for x in at], pa.binary()), pa.array([values[x].tobytes() for x in at], pa.binary())], names=["part", "kind", "a", "b"])
+            keys, values = np.array(batch.column(0)).view(np.uint64), np.array(batch.column(1))
+            part = keys % np.uint64(partitions)
+            order = np.argsort(part, kind="stable")
+            first, sizes = _runs(part[order])
+            at = [order[a : a + n] for a, n in zip(first.tolist(), sizes.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([int(part[x[0]]) for x in at], pa.int32()), pa.array([keys[x].tobytes() for x in at], pa.binary()), pa.array([values[x].tobytes() for x in at], pa.binary())], names=["part", "keys", "back"])
 
-    return df.select("key", F.col(value).cast("double")).mapInArrow(run, "part int, kind int, a binary, b binary")
+    return weights.select("h", "back").mapInArrow(run, "part int, keys binary, back binary")
 
 
-def good_turing(n_r: dict[int, int]) -> dict[int, float]:
-    """Discounts of counts MIN_COUNT to GT_MAX; 1 where the counts of counts are too thin to tell."""
-    n = lambda r: float(n_r.get(r, 0))
-    out = {}
-    for r in range(MIN_COUNT, GT_MAX + 1):
-        d = 1.0
-        if n(1) > 0 and n(r) > 0:
-            common = (GT_MAX + 1) * n(GT_MAX + 1) / n(1)
-            d = ((r + 1) * n(r + 1) / (r * n(r)) - common) / (1 - common) if common != 1 else 1.0
-        out[r] = d if 0.0 < d <= 1.0 else 1.0
-    return out
+def _kept(c, discounts: dict[int, float]):
+    """d * c of a column of counts."""
+    out = c / (c + 1)
+    for r, d in discounts.items():
+        out = F.when(c == r, F.lit(d)).otherwise(out)
+    return out * c
 
 
-def score(docs: DataFrame, folds: int = FOLDS, test_fold: int = TEST_FOLD) -> DataFrame:
+def score(docs: DataFrame, folds: int = FOLDS, test_fold: int = TEST_FOLD, slices: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     spark: SparkSession = docs.sparkSession
     doc_id = F.col("doc_id").cast("long")
@@ -366,43 +434,49 @@ def score(docs: DataFrame, folds: int = FOLDS, test_fold: int = TEST_FOLD) -> Da
     training = rows.where("not held_out").select("text")
 
     # 1. Words.
-    words = _written(training.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("c")))
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    n_tokens, mass = total["n"], total["n"] + total["v"] + 1
+    words = written(training.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("c")), "katz-words")
+    c = F.col("c")
+    about = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), *[F.count(F.when(c == r, 1)).alias(f"n{r}") for r in range(1, GT_MAX + 2)]).first()
+    n_tokens, mass = about["n"], about["n"] + about["v"] + 1
+    of_words = good_turing({r: about[f"n{r}"] for r in range(1, GT_MAX + 2)})
+    seen = words.agg(F.sum(_kept(c, of_words))).first()[0]
     partitions = max(1, math.ceil(max(n_tokens, 1) / TOKENS_PER_PARTITION))
     least_hot = max(2, n_tokens // HOT + 1)
-    hot = words.where(F.col("c") >= least_hot).collect()  # fewer than HOT rows: their counts add up to N at most
-    release(spark)
-
-    # 2. Pairs that count, with discounts and back-off weights.
-    sent = training.mapInArrow(_send_pairs(partitions, _Hot([r["key"] for r in hot])), "part int, h binary, runs binary, w binary, n binary")
-    counted = _written(sent.groupBy("part").applyInArrow(_count_pairs, "key long, h long, w long, c long, c_h long"))
-    n_r = {r["h"]: r["n"] for r in counted.where("w = -1").groupBy("h").agg(F.sum("c").alias("n")).collect()}
-    release(spark)  # Spark keeps what the last job used: only now the packed pairs can go
-    discount = good_turing(n_r)
-    d = F.lit(1.0)
-    for r, x in discount.items():
-        d = F.when(F.col("c") == r, F.lit(x)).otherwise(d)
-    hot_count = F.broadcast(spark.createDataFrame([(r["key"], r["c"]) for r in hot], "h long, hot_c long"))  # fewer than HOT rows
-    p1 = words.where(F.col("c") >= MIN_COUNT).select(F.col("key").alias("w"), ((F.col("c") + 1) / F.lit(float(mass))).alias("p1"))
-    seen = counted.where("w <> -1").join(hot_count, "h", "left").withColumn("p", d * F.col("c") / F.coalesce("hot_c", "c_h")).select("key", "h", "w", "c", "p").join(p1, "w")
-    # A history's seen words: 1 - sum p is what the discounts leave, 1 - sum p1 what P1 gives to all others.
-    alpha = seen.groupBy("h").agg(((1 - F.sum("p")) / (1 - F.sum("p1"))).alias("alpha")).select("h", F.log10(F.greatest("alpha", F.lit(1e-12))).alias("alpha"))
-    alpha = _written(alpha)
-    release(spark)
-    gains = _written(seen.join(alpha, "h").select("key", "c", (F.log10("p") - F.log10("p1") - F.col("alpha")).alias("gain")))
-    hot_alpha = {r["key"]: r["alpha"] for r in alpha.join(hot_count, "h").select(F.col("h").alias("key"), "alpha").collect()}
-    hot_words = _Hot([r["key"] for r in hot], p=[math.log10((r["c"] + 1) / mass) for r in hot], more=[hot_alpha.get(r["key"], 0.0) for r in hot])
-    hot_gains = gains.where(F.col("c") >= least_hot).collect()  # likewise fewer than HOT rows
-    hot_pairs = _Hot([r["key"] for r in hot_gains], more=[r["gain"] for r in hot_gains])
-
-    # 3. Texts meet the tables; most pairs that don't count stay behind.
-    _drop(counted)
-    counting = spark.sparkContext.broadcast(zlib.compress(_filter_of(gains.select("key")).bits.tobytes(), 1))
-    release(spark)
-    table = _packed(words.select("key", F.log10((F.col("c") + 1) / F.lit(float(mass))).alias("v")), WORD, "v", partitions)
-    table = table.unionByName(_packed(alpha.select(F.col("h").alias("key"), "alpha"), ALPHA, "alpha", partitions)).unionByName(_packed(gains, PAIR, "gain", partitions))
-    texts = rows.mapInArrow(_send_texts(partitions, hot_words, hot_pairs, counting), "part int, kind int, block long, a binary, b binary, c binary")
-    sums = texts.groupBy("part").cogroup(table.groupBy("part")).applyInArrow(_look_up(math.log10(1 / mass)), _SUMS)
-    by_doc = sums.groupBy("block", "place").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("more").alias("more"))
-    return by_doc.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("more")).alias("score"))
+    hot = words.where(c >= least_hot).collect()  # fewer than HOT rows: their counts add up to N at most
+    know = _Words(_Hot([r["key"] for r in hot], c=[r["c"] for r in hot]), of_words, n_tokens, mass, 1 - seen / n_tokens if n_tokens else 1.0)
+    drop(words)
+
+    # 2. Pairs and the weights of their histories.
+    sent = training.mapInArrow(_send_pairs(partitions, know.hot), "part int, w binary, runs binary, h binary, n binary")
+    counted = written(sent.groupBy("part").applyInArrow(_count_pairs, _COUNTED), "katz-pairs")
+    n_r = {r["r"]: r["n"] for r in counted.select(F.posexplode("n_r").alias("r", "n")).groupBy("r").agg(F.sum("n").alias("n")).collect()}
+    of_pairs = good_turing(n_r)
+    table = counted.select("w", "runs", "h", "c")
+    sums = table.mapInArrow(_history_sums(know, of_pairs), "h long, kept double, total long, lower double").groupBy("h").agg(*[F.sum(k).alias(k) for k in ("kept", "total", "lower")])
+    # What a pair that backs off adds: its history's weight, and c(h), which the history itself has subtracted.
+    weights = written(sums.select("h", F.log10(F.col("total") * (1 - F.col("kept") / F.col("total")) / (1 - F.col("lower"))).alias("back")), "katz-weights")
+    hot_words = F.broadcast(spark.createDataFrame([(r["key"],) for r in hot], "h long"))  # fewer than HOT rows
+    hot_back = weights.join(hot_words, "h").collect()
+    hot_back = _Hot([r["h"] for r in hot_back], back=[r["back"] for r in hot_back])
+    pairs = table.mapInArrow(_hot_pairs(least_hot), "w long, h long, c long").collect()  # fewer than HOT rows, likewise
+    w, h, n = (np.array([r[k] for r in pairs], np.int64) for k in ("w", "h", "c"))
+    w, h = w.view(np.uint64), h.view(np.uint64)
+    c_w, first = know.counts(w, np.zeros(len(w))), h == _START
+    pair_score = _seen_scores(w, c_w, np.where(first, 0, n), of_pairs) + np.where(first, np.log10(know.p1(c_w)), 0.0)
+    hot_pairs = _Hot(pair_key(h, w).tolist(), score=pair_score.tolist())
+
+    # 3. Texts meet the tables, slice by slice.
+    found, slices = [], slices or SLICES
+    for k in range(slices):
+        some = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)) == k)
+        texts = some.mapInArrow(_send_texts(partitions, know, hot_pairs), _SENT)
+        found.append(written(texts.groupBy("part").cogroup(counted.groupBy("part")).applyInArrow(_look_up(partitions, know, of_pairs, hot_back), _FOUND), "katz-sums"))
+    drop(counted)
+    out = []
+    for one in found:
+        back = one.where(F.col("kind") == BACK).groupBy("part").cogroup(_packed_weights(weights, partitions).groupBy("part")).applyInArrow(_back_off, _FOUND)
+        out.append(one.where(F.col("kind") != BACK).unionByName(back).groupBy("block").applyInArrow(_sum_up, _DOCUMENTS))
+    scores = out[0]
+    for one in out[1:]:
+        scores = scores.unionByName(one)
+    return scores.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score")
