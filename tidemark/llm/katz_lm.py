@@ -358,8 +358,11 @@ def _look_up(partitions: int, words: _Words, discounts: dict[int, float], hot_ba
             part, h, doc = (h[far] % np.uint64(partitions)).astype(np.int64), h[far], np.concatenate(docs)[far]
             order = np.lexsort((row, part))
             part, row, h, doc = part[order], row[order], h[order], doc[order]
-            begin, sizes = _runs(part * len(rows) + row)
-            out += [(BACK, int(part[a]), rows[row[a]], h[a : a + n].tobytes(), doc[a : a + n].tobytes(), None) for a, n in zip(begin.tolist(), sizes.tolist(), strict=True)]
+            begin, sizes = _runs(part)
+            for a, n in zip(begin.tolist(), sizes.tolist(), strict=True):
+                of, runs = _runs(row[a : a + n])
+                blocks_ = np.array(rows, np.int64)[row[a : a + n][of]]
+                out.append((BACK, int(part[a]), 0, h[a : a + n].tobytes(), doc[a : a + n].tobytes(), blocks_.tobytes() + runs.astype(np.int64).tobytes()))
         return out
 
     return run
@@ -372,12 +375,20 @@ def _back_off(sent: pa.Table, known: pa.Table) -> pa.Table:
     key, value = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (values, np.float64)))
     order = np.argsort(key)
     key, value = key[order], value[order]
-    out = []
-    for block, a, b in zip(*(sent.column(k).to_pylist() for k in ("block", "a", "b")), strict=True):
-        weight = _find(key, np.frombuffer(a, np.uint64), value)
-        ((docs, sums),) = _sums_by_doc([0], [np.frombuffer(b, np.uint16)], [np.zeros(len(weight)), weight, np.zeros(len(weight))])
-        out.append((SUMS, 0, block, docs, sums, None))
-    return _found(out)
+    h, doc, block = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+    for a, b, c in zip(*(sent.column(k).to_pylist() for k in ("a", "b", "c")), strict=True):
+        h.append(np.frombuffer(a, np.uint64))
+        doc.append(np.frombuffer(b, np.uint16))
+        block.append(np.repeat(*np.frombuffer(c, np.int64).reshape(2, -1)))
+    h, doc, block = np.concatenate(h), np.concatenate(doc), np.concatenate(block)
+    order = np.argsort(block, kind="stable")
+    h, doc, block = h[order], doc[order], block[order]
+    begin, sizes = _runs(block)
+    if not len(begin):
+        return _found([])
+    weight, none = _find(key, h, value), np.zeros(len(h))
+    rows = block[begin].tolist()
+    return _found([(SUMS, 0, b, d, x, None) for b, (d, x) in zip(rows, _sums_by_doc(rows, np.split(doc, begin[1:]), [none, weight, none]), strict=True)])
 
 
 _DOCUMENTS = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
