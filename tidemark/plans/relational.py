@@ -21,10 +21,10 @@ def with_columns(t: Tables):
     return t.part.select("p_partkey", "p_size", "p_retailprice").withColumns({"p_next": F.col("p_size") + 1})
 
 
-@query("SELECT l_orderkey, l_linenumber, (l_orderkey - 700) // 7 AS q, (l_orderkey - 700) % 7 AS r, -l_linenumber AS neg, round(l_extendedprice / nullif(l_quantity, 0), 7) AS unit FROM lineitem WHERE l_orderkey >= 700")
+@query("SELECT l_orderkey, l_linenumber, (l_orderkey - 700) // 7 AS q, (l_orderkey - 700) % 7 AS r, -l_linenumber AS neg, round(l_extendedprice / nullif(l_quantity, 0), 7) AS unit FROM lineitem")
 def arithmetic(t: Tables):
     k = F.col("l_orderkey") - 700
-    return t.lineitem.where("l_orderkey >= 700").select("l_orderkey", "l_linenumber", int_div(k, F.lit(7)).alias("q"), (k % 7).alias("r"), (-F.col("l_linenumber")).alias("neg"), F.round(ratio(F.col("l_extendedprice"), F.col("l_quantity")), 7).alias("unit"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", int_div(k, F.lit(7)).alias("q"), (k % 7).alias("r"), (-F.col("l_linenumber")).alias("neg"), F.round(ratio(F.col("l_extendedprice"), F.col("l_quantity")), 7).alias("unit"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 30 AND l_returnflag = 'R'", name="filter")

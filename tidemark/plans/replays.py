@@ -68,13 +68,13 @@ def quote_panel(t: Tables):
     return R.quote_panel(deltas).withColumn("mid", F.round("mid", 6))
 
 
-@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_quantity * 0.001, 4) AS proportional, round(CASE WHEN l_returnflag = 'R' THEN l_discount * (1 - l_discount) * l_quantity * 0.07 ELSE 0 - l_discount * (1 - l_discount) * l_quantity * 0.07 * 0.5 END, 9) AS prediction FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * l_quantity * 0.001, 5) AS proportional, round(CASE WHEN l_returnflag = 'R' THEN l_discount * (1 - l_discount) * l_quantity * 0.07 ELSE 0 - l_discount * (1 - l_discount) * l_quantity * 0.07 * 0.5 END, 9) AS prediction FROM lineitem")
 def fees(t: Tables):
     taker = F.col("l_returnflag") == "R"
-    return t.lineitem.select("l_orderkey", "l_linenumber", F.round(R.fee("proportional", F.col("l_extendedprice"), F.col("l_quantity"), taker, 0.001), 4).alias("proportional"), F.round(R.fee("prediction", F.col("l_discount"), F.col("l_quantity"), taker, 0.07, 0.5), 9).alias("prediction"))
+    return t.lineitem.select("l_orderkey", "l_linenumber", F.round(R.fee("proportional", F.col("l_extendedprice"), F.col("l_quantity"), taker, 0.001), 5).alias("proportional"), F.round(R.fee("prediction", F.col("l_discount"), F.col("l_quantity"), taker, 0.07, 0.5), 9).alias("prediction"))
 
 
-@query("""WITH RECURSIVE f AS (SELECT event_type AS k, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n, (CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END * (user_id % 7 + 1))::HUGEINT * 1000000000 AS d, round(value * 1000000000)::HUGEINT AS p, (user_id % 3)::HUGEINT * 1000 AS c FROM events WHERE event_id < 500),
+@query("""WITH RECURSIVE f AS (SELECT event_type AS k, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n, (CASE WHEN user_id % 2 = 0 THEN 1 ELSE -1 END * (user_id % 7 + 1))::HUGEINT * 1000000000 AS d, round(value * 1000000000)::HUGEINT AS p, (user_id % 3)::HUGEINT * 1000 AS c FROM events),
     s(k, n, q, a, r, fee) AS (SELECT DISTINCT k, 0::BIGINT, 0::HUGEINT, 0::HUGEINT, 0::HUGEINT, 0::HUGEINT FROM f
         UNION ALL SELECT s.k, f.n, q + d,
             CASE WHEN q + d = 0 THEN 0 WHEN q = 0 OR sign(q) = sign(d) THEN (a * abs(q) + p * abs(d)) // abs(q + d) WHEN abs(d) > abs(q) THEN p ELSE a END,
@@ -82,7 +82,7 @@ def fees(t: Tables):
         FROM s JOIN f ON f.k = s.k AND f.n = s.n + 1)
     SELECT k AS instrument_id, 0 AS outcome, q::BIGINT AS quantity, a::BIGINT AS average_price, r::BIGINT AS realized_pnl, fee::BIGINT AS commissions FROM s QUALIFY row_number() OVER (PARTITION BY k ORDER BY n DESC) = 1""")
 def position_fold(t: Tables):
-    e = t.events.where("event_id < 500")
+    e = t.events
     side = F.when(F.col("user_id") % 2 == 0, 1).otherwise(-1)
     fills = e.select(F.col("event_type").alias("instrument_id"), F.lit(0).alias("outcome"), F.col("event_id").alias("seq"), (side * (F.col("user_id") % 7 + 1) * R.SCALE).alias("quantity"), F.round(F.col("value") * R.SCALE).cast("long").alias("price"), (F.col("user_id") % 3 * 1000).alias("commission"))
     return R.fold_positions(fills)
@@ -119,8 +119,18 @@ def leaderboard(t: Tables):
     return R.leaderboard(trials, "score", top=10).select("trial", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("WITH r AS (SELECT l_partkey AS symbol, l_orderkey AS a, l_orderkey + l_quantity::BIGINT * 20 AS b FROM lineitem WHERE l_linenumber = 1), m AS (SELECT o_orderkey AS t FROM orders WHERE o_orderkey % 97 = 0) SELECT t, symbol, a AS start FROM m JOIN r ON a <= t AND t < b")
+@query("WITH r AS (SELECT l_partkey AS symbol, l_orderkey AS a, l_orderkey + l_quantity::BIGINT * 20 AS b FROM lineitem), m AS (SELECT o_orderkey AS t FROM orders) SELECT t, count(*) AS members, sum(symbol)::BIGINT AS symbols FROM m JOIN r ON a <= t AND t < b GROUP BY t")
 def universe_asof(t: Tables):
-    registry = t.lineitem.where("l_linenumber = 1").select(F.col("l_partkey").alias("symbol"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_quantity").cast("long") * 20).alias("end"))
-    moments = t.orders.where("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("t"))
-    return R.members_at(registry, moments, 1000).select("t", "symbol", "start")
+    """All spans at all moments: how many members each moment has, and the sum of their symbols."""
+    registry = t.lineitem.select(F.col("l_partkey").alias("symbol"), F.col("l_orderkey").alias("start"), (F.col("l_orderkey") + F.col("l_quantity").cast("long") * 20).alias("end"))
+    moments = t.orders.select(F.col("o_orderkey").alias("t"))
+    return R.members_at(registry, moments, 1000).groupBy("t").agg(F.count(F.lit(1)).alias("members"), F.sum("symbol").alias("symbols"))
+
+
+@query("""WITH s AS (SELECT event_type AS instrument_id, event_id AS ts, CASE WHEN user_id % 5 = 0 THEN 2.0 WHEN user_id % 5 = 1 THEN 0.0 END AS state FROM events),
+    p AS (SELECT ts, instrument_id, coalesce(last_value(state IGNORE NULLS) OVER (PARTITION BY instrument_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0.0) AS target FROM s),
+    d AS (SELECT ts, instrument_id, target - coalesce(lag(target) OVER (PARTITION BY instrument_id ORDER BY ts), 0) AS quantity FROM p)
+    SELECT ts, instrument_id, quantity::DOUBLE AS quantity FROM d WHERE quantity <> 0""")
+def from_signals(t: Tables):
+    e, k = t.events, F.col("user_id") % 5
+    return R.from_signals(e.select(F.col("event_id").alias("ts"), F.col("event_type").alias("instrument_id"), (k == 0).alias("entry"), (k == 1).alias("exit")), 2.0)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.asof import asof_join
 
-_ASOF = re.compile(r"(\w+)(?:\s+(?:AS\s+)?(\w+))?\s+ASOF\s+(LEFT\s+)?JOIN\s+(\w+)(?:\s+(?:AS\s+)?(\w+))?\s+MATCH_CONDITION\s*\(\s*(\w+)\.(\w+)\s*(>=|>|<=|<)\s*(\w+)\.(\w+)\s*\)\s*ON\s+((?:\w+\.\w+\s*=\s*\w+\.\w+)(?:\s+AND\s+\w+\.\w+\s*=\s*\w+\.\w+)*)", re.IGNORECASE)
+_ASOF = re.compile(r"\b(?!FROM\b|JOIN\b)(\w+)(?:\s+(?:AS\s+)?(\w+))?\s+ASOF\s+(LEFT\s+)?JOIN\s+(\w+)(?:\s+(?:AS\s+)?(\w+))?\s+MATCH_CONDITION\s*\(\s*(\w+)\.(\w+)\s*(>=|>|<=|<)\s*(\w+)\.(\w+)\s*\)\s*ON\s+((?:\w+\.\w+\s*=\s*\w+\.\w+)(?:\s+AND\s+\w+\.\w+\s*=\s*\w+\.\w+)*)", re.IGNORECASE)
 _ROLLING = re.compile(r"\brolling_(avg|sum|min|max|count)\(\s*([^,()]+)\s*,\s*([^,()]+)\s*,\s*(\d+)\s*(?:,\s*([^,()]+)\s*)?\)", re.IGNORECASE)
 
 

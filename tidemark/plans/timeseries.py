@@ -12,6 +12,7 @@ from ..operators import bars
 from ..operators.asof import asof_join
 from ..operators.gapfill import gapfill
 from .registry import Tables, query
+from .sql import sql as sql_
 
 _OHLCV = """SELECT time_bucket(INTERVAL {width}, ts) AS bucket, event_type, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low,
     last(value ORDER BY ts, event_id) AS close, sum(user_id + 1)::BIGINT AS volume, round(sum(value * (user_id + 1)) / sum(user_id + 1), 6) AS vwap, count(*) AS n FROM events GROUP BY 1, 2"""
@@ -202,3 +203,18 @@ def sliding(t: Tables):
 def session(t: Tables):
     w = F.session_window("ts", "12 hours").alias("w")
     return t.events.groupBy("user_id", w).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("finish"), "n")
+
+
+@query("SELECT a.event_id, a.user_id, (SELECT max(b.event_id) FROM events b WHERE b.user_id = a.user_id AND b.event_type = 'view' AND b.event_id <= a.event_id) AS event_id_right FROM events a WHERE a.event_type = 'purchase'")
+def asof_sql(t: Tables):
+    """An as-of join written as SQL: each purchase with the user's last view before it."""
+    t.events.where("event_type = 'purchase'").select("event_id", "user_id").createOrReplaceTempView("tm_purchases")
+    t.events.where("event_type = 'view'").select("event_id", "user_id").createOrReplaceTempView("tm_views")
+    return sql_(t.spark, "SELECT event_id, user_id, event_id_right FROM tm_purchases ASOF LEFT JOIN tm_views MATCH_CONDITION (tm_purchases.event_id >= tm_views.event_id) ON tm_purchases.user_id = tm_views.user_id")
+
+
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 8) AS mean FROM events")
+def rolling_sql(t: Tables):
+    """Rolling shorthands in SQL text."""
+    t.events.createOrReplaceTempView("tm_events")
+    return sql_(t.spark, "SELECT event_id, round(rolling_avg(value, event_id, 10, event_type), 8) AS mean FROM tm_events")

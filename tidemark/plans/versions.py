@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from ..sources.catalog import Catalog, arrival_delta as delta_, violations
+from ..sources.catalog import Catalog, CatalogError, arrival_delta as delta_, violations
 from .registry import Tables, query
 
 _CUTS = (datetime(1996, 1, 1), datetime(1997, 1, 1))
@@ -88,3 +88,86 @@ def arrival_delta(t: Tables):
 def version_diff_join(t: Tables):
     c = _catalog(t)
     return c.table("orders", version=2).join(c.table("orders", version=1), "o_orderkey", "left_anti").select("o_orderkey")
+
+
+@query(f"SELECT {_COLS} FROM orders WHERE {_V1}")
+def restore(t: Tables):
+    c = _catalog(t)
+    c.restore("orders", 1)
+    return c.table("orders")
+
+
+@query(f"SELECT {_COLS}, CASE WHEN NOT ({_V2}) THEN o_orderpriority END AS o_orderpriority FROM orders")
+def evolve(t: Tables):
+    """A column that comes with the third version is null in rows of the first two."""
+    c = _catalog(t)
+    c.restore("orders", 2)
+    orders = t.orders.select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")
+    c.evolve("orders", orders.schema)
+    c.append("orders", orders.where(F.col("o_orderdate") >= F.lit(_CUTS[1])))
+    return c.table("orders")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderdate < TIMESTAMP '1996-02-01' OR o_orderdate >= TIMESTAMP '1996-05-01'")
+def plan_apply(t: Tables):
+    """A staged deletion of a range changes nothing until it is applied."""
+    c = _catalog(t)
+    c.apply(c.plan("orders", datetime(1996, 2, 1), datetime(1996, 5, 1), None, ttl_s=10**6)["id"])
+    return c.table("orders").select("o_orderkey")
+
+
+@query(f"SELECT 'orders' AS tab, count(*) AS n, sum(o_orderkey)::BIGINT AS keys FROM orders UNION ALL SELECT 'late', count(*), sum(o_orderkey)::BIGINT FROM orders WHERE NOT ({_V2})")
+def transaction(t: Tables):
+    """An append to one table and a write of another, published together."""
+    c = _catalog(t)
+    c.restore("orders", 2)
+    late = c.table("orders", version=3).where(F.col("o_orderdate") >= F.lit(_CUTS[1]))
+    c.create("late", late.schema, time="o_orderdate")
+    c.transaction({"orders": ("append", late), "late": ("write", late)})
+    per = lambda name: c.table(name).agg(F.lit(name).alias("tab"), F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+    return per("orders").unionByName(per("late"))
+
+
+@query(f"SELECT 2::BIGINT AS version, count(*) AS n FROM orders WHERE {_V2} UNION ALL SELECT 3, count(*) FROM orders")
+def retention(t: Tables):
+    """The versions that are left when the last two are kept, with their rows."""
+    c = _catalog(t)
+    c.retain("orders", keep_last=2)
+    out = None
+    for v in (1, 2, 3):
+        try:
+            one = c.table("orders", version=v).agg(F.lit(v).cast("long").alias("version"), F.count(F.lit(1)).alias("n"))
+        except CatalogError:
+            continue
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"SELECT {_COLS} FROM orders")
+def idempotent_append(t: Tables):
+    """A repeated append with the same key adds nothing; compacting changes no row."""
+    c = _catalog(t)
+    c.restore("orders", 2)
+    late = c.table("orders", version=3).where(F.col("o_orderdate") >= F.lit(_CUTS[1]))
+    for _ in range(2):
+        c.append("orders", late, key="late")
+    c.compact("orders")
+    return c.table("orders")
+
+
+@query(f"SELECT {_COLS} FROM orders WHERE {_V2}")
+def snapshot_read(t: Tables):
+    """A snapshot keeps its read point when the table goes on."""
+    c = _catalog(t)
+    c.restore("orders", 2)
+    c.snapshot("then", ["orders"])
+    c.append("orders", c.table("orders", version=3).where(F.col("o_orderdate") >= F.lit(_CUTS[1])))
+    return c.table("orders", snapshot="then")
+
+
+@query("SELECT event_id, user_id, value FROM events")
+def file_round_trip(t: Tables):
+    """CSV written, its kind told by its name, read back."""
+    folder = f"{scratch(t.spark)}/files-{uuid.uuid4().hex}/events.csv"
+    t.events.select("event_id", "user_id", "value").write.option("header", True).csv(folder)
+    return t.spark.read.option("header", True).schema("event_id long, user_id long, value double").csv(folder)
