@@ -2,6 +2,10 @@
 
 Each stage reads all that its predecessor kept, from Parquet in the shared folder.
 Stages up to mixing return the columns of documents; the last one returns a row a piece.
+
+Every stage takes null, empty and very long texts, repeated rows, null ids and further columns as its operator says: texts that are null
+or empty fail the quality rules; rows that are alike leave one; rows without a doc_id pass the deduplication by similarity;
+an empty table leaves an empty one. Near copies are those of a similarity of 0.8 or more, the operator's default.
 """
 
 from __future__ import annotations
@@ -48,10 +52,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            # What the next stage doesn't read goes; the last stage's files are the result.
+            path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     return docs
