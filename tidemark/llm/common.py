@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: ASCII white space, the only separator of words here.
 WHITE = b" \t\n\x0b\x0c\r"
 #: Bytes of text that one vectorised block holds; a longer document is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 #: Rows that share a key and go to one task before the key is dealt over several; longest list of keys to broadcast.

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, cut, mix64
+from .common import as_bytes, cut, mix64, text_blocks
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 1024, 16384, 12
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -65,10 +65,11 @@ def _recipes(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shas, lists = [], []
-            for text in as_bytes(batch.column(1)):
-                b = text.lower()
-                shas.append(hashlib.sha256(b).hexdigest())
-                lists.append([_hash(c, bits) for c in _chunks(b)])
+            for _, _, texts in text_blocks(batch.column(1)):
+                for text in texts:
+                    b = text.lower()
+                    shas.append(hashlib.sha256(b).hexdigest())
+                    lists.append([_hash(c, bits) for c in _chunks(b)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shas, pa.string()), pa.array(lists, pa.list_(pa.int64()))], names=["doc_id", "text_sha256", "recipe"])
 
     return run

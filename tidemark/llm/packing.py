@@ -31,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import TextBlock, as_bytes, blocks, cut
+from .common import TextBlock, cut, text_blocks
 
 CAPACITY, END_ID = 1024, 2
 SALTS = 256
 #: Words whose ids a worker remembers before it forgets them all.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 400_000
 
 
 # --- tokens -----------------------------------------------------------------------------------------------------------
@@ -152,20 +152,19 @@ def _tokenise(tokenizer_path: str, capacity: int, with_ids: bool):
         if tokenizer_path not in _encoders:
             _encoders[tokenizer_path] = ByteBPE(tokenizer_path)
         encode, end = _encoders[tokenizer_path].encode, np.array([END_ID], dtype="<u4").tobytes()
+        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()][: 5 + with_ids]
+        names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids]
         for batch in batches:
-            out: list[tuple] = []
-            docs, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
-            for i, j in blocks(texts):
-                for doc, ids in zip(docs[i:j], encode(texts[i:j]), strict=True):
+            docs = batch.column(0).to_pylist()
+            for i, j, texts in text_blocks(batch.column(1)):
+                out: list[tuple] = []
+                for doc, ids in zip(docs[i:j], encode(texts), strict=True):
                     ids, at = ids.tobytes() + end, 0
                     for k, n in enumerate(piece_lengths(len(ids) // 4, capacity)):
                         part = ids[4 * at : 4 * (at + n)]
                         out.append((doc, k, at, n, zlib.crc32(part), *([part] if with_ids else [])))
                         at += n
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            columns = zip(*out, strict=True) if out else [[] for _ in range(5 + with_ids)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types[: 5 + with_ids], strict=True)], names=names[: 5 + with_ids])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     return run
 

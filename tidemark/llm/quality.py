@@ -24,7 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import TextBlock, as_bytes, blocks, mix64
+from .common import TextBlock, as_bytes, blocks, mix64, text_blocks
 
 MIN_WORDS = 50
 #: Bound on the labelled documents that the trees learn from.
@@ -216,8 +216,9 @@ def judge(docs: DataFrame, labels: DataFrame, trees: Trees | None = None) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, failed, kept, score = verdicts(as_bytes(batch.column(1)), model)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(counts[:, k], pa.int64()) for k in range(len(BASE))], pa.array(failed), pa.array(kept), pa.array(score)], names=["doc_id", *BASE, "base_failed", "kept", "score"])
+            for i, j, texts in text_blocks(batch.column(1)):
+                counts, failed, kept, score = verdicts(texts, model)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *[pa.array(counts[:, k], pa.int64()) for k in range(len(BASE))], pa.array(failed), pa.array(kept), pa.array(score)], names=["doc_id", *BASE, "base_failed", "kept", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean, score double")
