@@ -230,6 +230,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def kept(text: pd.Series) -> pd.Series:
-        return pd.Series(verdicts([(x or "").encode() for x in text], model)[2])
+        # A few texts at a time, so that a batch isn't held twice.
+        found = [verdicts([(x or "").encode() for x in text.iloc[i : i + 256]], model)[2] for i in range(0, len(text), 256)]
+        return pd.Series(np.concatenate(found) if found else np.zeros(0, bool))
 
     return docs.where(kept(F.col("text").cast("string")))
