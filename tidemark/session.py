@@ -30,10 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: the one named in spark.checkpoint.dir, a temporary one only where none is set."""
+    """A folder that driver and executors share: the one named in spark.checkpoint.dir; a temporary one only where none is set and all is on one machine."""
     import tempfile
 
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-"))
     return context.getCheckpointDir().get()
