@@ -9,8 +9,8 @@ One document of a block stays fractional and goes up a reduction tree, block by
 block, until each source has one left, which is rounded at random by itself.
 So a source's taken words miss the target by less than one document.
 
-Blocks are dealt by hash and hold about FAN documents whatever a source's size; only
-ids and sizes move. All random numbers are hashes of ids and a seed: reruns agree.
+Blocks are dealt by hash and hold about FAN documents whatever a source's size, and a source
+has as many as its own documents need; only ids and sizes move. All random numbers are hashes of ids and a seed: reruns agree.
 
 Defined cases: null and empty texts have size 0 and are taken 0 times, unless whole
 copies say otherwise (they add no words); a null source is a source of its own,
@@ -42,7 +42,7 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def targets(by_source: DataFrame, budget: float = 1.5, most: float = 2.0, cycle: tuple[float, ...] = CYCLE) -> DataFrame:
-    """Adds weight and target to rows (source, source_size), one for each source.
+    """Adds weight and target to rows (source, source_size and others), one for each source.
 
     The capped shares solve sum(min(cap, weight * level)) = budget: sources are
     filled in order of cap / weight, and the level follows from prefix sums. Windows over
@@ -60,7 +60,7 @@ def targets(by_source: DataFrame, budget: float = 1.5, most: float = 2.0, cycle:
     open_ = F.when(F.col("cap") > F.col("weight") * F.col("level"), F.col("level"))
     first = F.first(open_, ignorenulls=True).over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     at = F.coalesce(F.least(F.col("cap"), F.col("weight") * first), F.col("cap"))
-    return filled.withColumn("target", at).select("source", "source_size", "weight", "target")
+    return filled.withColumn("target", at).select(*by_source.columns, "weight", "target")
 
 
 def _uniform(a: int, b: int, seed: int) -> float:
@@ -90,8 +90,9 @@ def round_pairs(ids: list[int], size: list[int], p: list[float], seed: int) -> t
     return p, held
 
 
-def _level(last: bool, seed: int):
+def _level(seed: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        last = rows["blocks"].iloc[0] == 1
         # Long documents first: what is left over at the end is then short.
         rows = rows.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable", na_position="last").reset_index(drop=True)
         ids = [0 if pd.isna(x) else int(x) for x in rows["doc_id"]]
@@ -109,21 +110,23 @@ def _level(last: bool, seed: int):
 def mix(docs: DataFrame, seed: int = 20240229, fan: int = FAN, budget: float = 1.5, most: float = 2.0, cycle: tuple[float, ...] = CYCLE) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for each row of docs."""
     sized = cut(sizes(docs))
-    by_source = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), budget, most, cycle))
-    counts = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most")).first()["most"] or 0
+    by_source = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), budget, most, cycle))
+    sources = by_source.agg(F.count(F.lit(1)).alias("n"), F.max("n").alias("most")).first()
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = sized.alias("d").join(F.broadcast(by_source).alias("s") if by_source.count() <= 10_000 else by_source.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
-    rows = rows.select("doc_id", "d.source", "size", "source_size", "target", F.floor(rate).cast("long").alias("whole"), F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(F.lit(0.0)).alias("part"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(max(1, -(-counts // fan))).cast("long"))).withColumn("open", F.lit(True))
-    n_blocks, done = max(1, -(-counts // fan)), []
+    rows = sized.alias("d").join(F.broadcast(by_source).alias("s") if sources["n"] <= 10_000 else by_source.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")))
+    blocks = F.ceil(F.col("n") / F.lit(fan)).cast("long").alias("blocks")
+    rows = rows.select("doc_id", "d.source", "size", "source_size", "target", F.floor(rate).cast("long").alias("whole"), F.when(F.col("size") > 0, rate - F.floor(rate)).otherwise(F.lit(0.0)).alias("part"), blocks)
+    # The size too, so that rows without an id are not one block.
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "size", F.lit(seed)), F.col("blocks"))).withColumn("open", F.lit(True))
+    n_blocks, done = max(1, -(-(sources["most"] or 0) // fan)), []
     while True:
-        last = n_blocks == 1
-        rows = cut(rows.groupBy("source", "block").applyInPandas(_level(last, seed), rows.schema))
+        rows = cut(rows.groupBy("source", "block").applyInPandas(_level(seed), rows.schema))
         done.append(rows.where("not open"))
-        if last:
+        if n_blocks == 1:
             break
         n_blocks = -(-n_blocks // fan)
-        rows = rows.where("open").withColumn("block", F.pmod(F.col("block"), F.lit(n_blocks).cast("long")))
+        rows = rows.where("open").withColumn("blocks", F.ceil(F.col("blocks") / F.lit(fan)).cast("long"))
+        rows = rows.withColumn("block", F.pmod("block", "blocks"))
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
