@@ -11,8 +11,8 @@ raising the sum of squared fills, until bins are empty or no such step is left.
 Steps act on all bins of a type at once.
 
 Pieces then take the plan's slots by their rank among the pieces of their length. Ranks
-come from counts by (length, salt) and a numbering within each such group, so that a
-length that a third of all pieces share is spread over all tasks.
+come from counts by (length, salt) and a numbering within each such group; the number of
+salts follows the commonest length's pieces, so that a length that a third of all pieces share is spread over all tasks.
 
 Defined cases: null and empty texts are one piece with just the end token; repeated
 rows are packed each; an empty table gives no rows; a piece of exactly `capacity` tokens
@@ -34,7 +34,8 @@ from pyspark.sql.window import Window
 from .common import TextBlock, cut, text_blocks
 
 CAPACITY, END_ID = 1024, 2
-SALTS = 256
+#: Salts a length at least, and rows that share a length and a salt before there are more salts.
+SALTS, SALT_ROWS = 256, 100_000
 #: Words whose ids a worker remembers before it forgets them all.
 CACHE_ENTRIES = 400_000
 
@@ -319,9 +320,11 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, salts:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids) for each piece of docs."""
     spark = docs.sparkSession
     cols = ["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])]
-    cutted = cut(pieces(docs, tokenizer_path, capacity, with_ids).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")))
+    cutted = cut(pieces(docs, tokenizer_path, capacity, with_ids).withColumn("salt", F.xxhash64("doc_id", "piece")))
+    histogram = {r["length"]: r["n"] for r in cutted.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `capacity` rows
+    salts = max(salts, -(-max(histogram.values(), default=0) // SALT_ROWS))
+    cutted = cutted.withColumn("salt", F.pmod("salt", F.lit(salts)).cast("int"))
     counts = cut(cutted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")))
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     runs = plan_slots(local_search(best_fit(histogram, capacity), capacity))
     names = ("first_rank", "first_sequence", "at", "each")
     table = [(n, *([r[i] for r in rs] for i in range(4))) for n, rs in runs.items()]
