@@ -54,6 +54,35 @@ def test_quality_against_labels(spark):
     assert ((r["quality"] == 1) == r["kept"]).mean() > 0.97
 
 
+def plain_margin(trees, x):
+    total, inner = trees.bias, trees.feature.shape[1]
+    for feature, threshold, value in zip(trees.feature.tolist(), trees.threshold.tolist(), trees.value.tolist(), strict=True):
+        i = 0
+        while i < inner:
+            i = 2 * i + (2 if x[feature[i]] > threshold[i] else 1)
+        total += value[i - inner]
+    return total
+
+
+def test_quality_against_a_plain_tree_walk(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    trees = Q.learn(docs, labels)
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    got = Q.judge(docs, labels).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = 1 / (1 + np.exp(-plain_margin(trees, Q.statistics([texts[r["doc_id"]]])[1][0].tolist())))
+        assert r["score"] == pytest.approx(want, abs=1e-12) and r["kept"] == (not r["base_failed"] and r["score"] >= 0.5)
+
+
+def test_quality_of_repeated_labelled_rows(spark, frame):
+    rows = [(i % 40, " ".join(f"w{(i * k) % 97}" for k in range(60 + i % 7)), "en", "a") for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    a, b = Q.learn(frame(rows), labels), Q.learn(frame(rows[::-1]), labels)
+    assert a.bias == b.bias == 0 and (a.feature == b.feature).all() and (a.value == b.value).all()
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 5, 6, 12):
         code = L.codewords(n)
@@ -125,3 +154,43 @@ def test_license_scan_finds_all_notices(spark, frame):
     spans = {(s["label"], s["start"], s["end"]): s["score"] for s in got[1]["spans"]}
     assert set(want) <= set(spans) and all(spans[w] == pytest.approx(1) for w in want)
     assert {label for label, _, _ in S.TEMPLATES} <= set(got[1]["labels"].split(",")) and not got[2]["spans"]
+
+
+def plain_spans(w, idf, postings):
+    out = []
+    for t, (label, notice, key) in enumerate(S.TEMPLATES):
+        own, phrase = notice.split(), key.split()
+        anchors = [p for places in postings.values() for u, p in places if u == t]
+        at = next(i for i in range(len(own)) if own[i : i + len(phrase)] == phrase)
+        for s in range(-len(own), len(w)):
+            fits = [0 <= s + p < len(w) and w[s + p] == x for p, x in enumerate(own)]
+            score = sum(idf[x] for x, f in zip(own, fits, strict=True) if f) / sum(idf[x] for x in own)
+            if sum(fits[p] for p in anchors) > 1 and all(fits[at : at + len(phrase)]) and score >= S.LEAST:
+                out.append((label, s, s + len(own), round(score, 9)))
+    return sorted(out)
+
+
+def test_license_scan_against_a_plain_matcher(spark, frame):
+    draw = np.random.default_rng(5)
+    texts = []
+    for _ in range(60):
+        parts = []
+        for t in draw.integers(0, len(S.TEMPLATES), draw.integers(1, 6)):
+            w = S.TEMPLATES[t][1].split()
+            for i in draw.integers(0, len(w), draw.integers(0, 4)):
+                w[i] = str(draw.choice(["other", "the", "license", "software", "x"]))
+            parts += w[draw.integers(0, 2) :] + ["filler"] * int(draw.integers(0, 3))
+        texts.append(" ".join(parts))
+    counts = Counter(w for t in texts for w in set(t.split()))
+    idf, postings = S.build_index(len(texts), counts)
+    got = S.scan(frame([(i, t, "en", "a") for i, t in enumerate(texts)]), "doc_id").collect()
+    found = 0
+    for r in got:
+        w = texts[r["doc_id"]].split()
+        want = plain_spans(w, idf, postings)
+        assert sorted((s["label"], s["start"], s["end"], round(s["score"], 9)) for s in r["spans"]) == want
+        base = [x for x in plain_scan(texts[r["doc_id"]])[4].split(",") if x]
+        assert r["labels"] == ",".join(sorted({x[0] for x in want} | set(base)))
+        assert r["score"] == pytest.approx(max([x[3] for x in want], default=0), abs=1e-8)
+        found += len(want)
+    assert found > 60

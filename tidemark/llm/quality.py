@@ -10,7 +10,8 @@ into numpy arrays of nodes, and a batch goes through all of them level by level.
 
 Defined cases: a null text has no words and fails; with no labels of both kinds
 the hard rules decide alone; labels of absent or null documents are
-ignored, documents labelled both ways count once for each; empty tables give no rows; repeated rows are
+ignored, documents labelled both ways count once for each, and of rows that repeat a labelled
+doc_id the one with the smallest features counts; a score of exactly 0.5 is kept; empty tables give no rows; repeated rows are
 judged each; other columns are not read.
 """
 
@@ -24,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import TextBlock, as_bytes, blocks, mix64, text_blocks
+from .common import TextBlock, blocks, mix64, text_blocks
 
 MIN_WORDS = 50
 #: Bound on the labelled documents that the trees learn from.
@@ -186,15 +187,17 @@ def learn(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> T
     known = labels.where("doc_id is not null and quality in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).distinct()
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(max_labels)
     # At most max_labels rows of two numbers: they fit into any task.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("quality", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, features = statistics(as_bytes(batch.column(1)))
-            judged = ~base_failed(counts)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(judged)), pa.array(features[judged].tolist(), pa.list_(pa.float64()))], names=["quality", "x"])
+            for i, j, texts in text_blocks(batch.column(2)):
+                counts, features = statistics(texts)
+                judged = ~base_failed(counts)
+                keys = [batch.column(k).slice(i, j - i).filter(pa.array(judged)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(features[judged].tolist(), pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    found = rows.mapInArrow(run, "quality int, x array<double>").limit(4 * max_labels).toPandas()
+    found = rows.mapInArrow(run, "doc_id long, quality int, x array<double>").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toPandas()
     if len(found) == 0 or found["quality"].nunique() < 2:
         return None
     x, y = np.stack(found["x"].to_numpy()), found["quality"].to_numpy(dtype=float)
