@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 WHITE = b" \t\n\x0b\x0c\r"
 #: Bytes of text that one vectorised block holds; a longer document is a block of its own.
 BLOCK_BYTES = 1 << 20
+#: Bytes of rows that go to a Python worker in one batch.
+BATCH_BYTES = 4 << 20
 
 
 #: Rows that share a key and go to one task before the key is dealt over several; longest list of keys to broadcast.
@@ -33,21 +35,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def _shuffles_end_with_their_job(spark: SparkSession):
-    """Frames made inside leave no shuffle files behind once their action has ended."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def _sparing(spark: SparkSession):
+    """Frames made inside leave no shuffle files behind once their action has ended, and Python gets their rows in batches of few bytes."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder now and continue from that copy."""
     ensure_checkpoint_dir(df.sparkSession)
-    with _shuffles_end_with_their_job(df.sparkSession):
+    with _sparing(df.sparkSession):
         return df.select("*").checkpoint(eager=True)
 
 
@@ -55,7 +59,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table of files in the shared folder: columnar and compressed, for what is large."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with _shuffles_end_with_their_job(spark):
+    with _sparing(spark):
         df.select("*").write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -91,6 +95,24 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, by: str, counted: Data
     return a.join(b, [key, "__tm_salt"]).drop("__tm_salt")
 
 
+def give_back(run):
+    """run, a function of batches; its worker returns what it has freed to the system at the end, so that an idle one holds little."""
+
+    def whole(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return whole
+
+
 def blocks(texts: list, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of texts of at most `limit` bytes each, or of one longer text."""
     start = size = 0

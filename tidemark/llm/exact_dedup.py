@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import as_bytes, cut, mix64, text_blocks
+from .common import as_bytes, cut, give_back, mix64, text_blocks
 
 MIN_CHUNK, MAX_CHUNK, CUT_BITS = 1024, 16384, 12
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
@@ -102,8 +102,8 @@ def _contents(bits: int, places: bool):
 def recipes(docs: DataFrame, id_bits: int = 64) -> DataFrame:
     """doc_id, text_sha256, recipe: the verified identifiers of a text's chunks in order."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    plain = cut(rows.mapInArrow(_recipes(id_bits), "doc_id long, text_sha256 string, recipe array<long>"))
-    chunks = rows.mapInArrow(_contents(id_bits, False), "h long, chunk binary")
+    plain = cut(rows.mapInArrow(give_back(_recipes(id_bits)), "doc_id long, text_sha256 string, recipe array<long>"))
+    chunks = rows.mapInArrow(give_back(_contents(id_bits, False)), "h long, chunk binary")
     clash = cut(chunks.groupBy("h").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a != b").select("h"))
     named = plain.select("doc_id", "text_sha256", F.transform("recipe", lambda h: F.struct(h.alias("h"), F.lit(0).alias("ordinal"))).alias("recipe"))
     if clash.isEmpty():
@@ -111,7 +111,7 @@ def recipes(docs: DataFrame, id_bits: int = 64) -> DataFrame:
     # Hashes with more than one content: number the contents, and put the numbers into the lists that hold them.
     ordinal = F.row_number().over(Window.partitionBy("h").orderBy("chunk")) - 1
     ids = chunks.join(clash, "h", "left_semi").distinct().withColumn("ordinal", ordinal)
-    placed = rows.mapInArrow(_contents(id_bits, True), "doc_id long, text_sha256 string, place int, h long, chunk binary")
+    placed = rows.mapInArrow(give_back(_contents(id_bits, True)), "doc_id long, text_sha256 string, place int, h long, chunk binary")
     found = placed.join(ids, ["h", "chunk"]).select("doc_id", "text_sha256", "place", "ordinal").distinct()
     found = found.groupBy("doc_id", "text_sha256").agg(F.map_from_entries(F.collect_list(F.struct("place", "ordinal"))).alias("at"))
     joined = named.alias("n").join(found.alias("f"), F.col("n.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("n.text_sha256") == F.col("f.text_sha256")), "left")

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import TextBlock, cut, drop, join_hot, mix64, text_blocks
+from .common import TextBlock, cut, drop, give_back, join_hot, mix64, text_blocks
 
 WORDS, THRESHOLD = 5, 0.8
 HASHES, ROWS = 64, 4
@@ -207,7 +207,7 @@ class _Corpus:
         else:
             of = wanted.join(self.nodes.withColumnsRenamed({"a": "class_a", "b": "class_b"}), "id")
         texts = self.docs.join(F.broadcast(of) if few else of, self.docs["doc_id"] == of["first"])
-        found = texts.select("id", "text").mapInArrow(_set_rows, "id long, a long, b long, keys array<long>")
+        found = texts.select("id", "text").mapInArrow(give_back(_set_rows), "id long, a long, b long, keys array<long>")
         if self.nodes is not None:
             found = found.join(of, "id").where("a = class_a and b = class_b")
         return found.groupBy("id").agg(F.first("keys").alias("keys"))
@@ -255,7 +255,7 @@ def _near_stars(stars: DataFrame, sigs: DataFrame, threshold: float) -> DataFram
     the others, small buckets or stars, but for a probability of (1 - threshold^ROWS)^(BANDS - 2 * far_bands): 2e-8 at 0.85, 4e-7 at 0.8.
     """
     both = join_hot(stars.join(sigs.select("id", "sig"), "id"), sigs.select(F.col("id").alias("centre"), F.col("sig").alias("centre_sig")), "centre", "id", stars)
-    rows = both.select("id", "centre", "bands", "sig", "centre_sig").mapInArrow(_agreement, "id long, centre long, bands long, agreement double")
+    rows = both.select("id", "centre", "bands", "sig", "centre_sig").mapInArrow(give_back(_agreement), "id long, centre long, bands long, agreement double")
     least = min(FAR, screen(threshold))
     far = F.sum(F.when(F.col("agreement") < least, F.col("bands")).otherwise(0)).over(Window.partitionBy("id"))
     return rows.withColumn("far", far).where((F.col("agreement") >= least) | (F.col("far") > far_bands(threshold))).select("id", "centre")
@@ -359,7 +359,7 @@ def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
     """doc_id, mark, n_shingles, node (the component's; null without one), component_id for each row of docs; mark: a hash of the text."""
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"))
-    signed = cut(rows.mapInArrow(_signed_rows, "doc_id long, mark long, n_shingles long, a long, b long, sig binary"))
+    signed = cut(rows.mapInArrow(give_back(_signed_rows), "doc_id long, mark long, n_shingles long, a long, b long, sig binary"))
     # One node for each class of equal sets; null ids and empty sets are in none.
     in_class = signed.where("n_shingles > 0 and doc_id is not null")
     nodes, renamed = _nodes(cut(in_class.groupBy("n_shingles", "a", "b").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig"))))
@@ -372,7 +372,7 @@ def _grouped(docs: DataFrame, threshold: float) -> DataFrame:
     shared = cut(keys.join(members, ["band", "key"]))
     large = shared.where(F.col("members") > SMALL).groupBy("id").agg(F.expr("bit_or(shiftleft(1L, band))").alias("large"))
     small = shared.where(F.col("members") <= SMALL).join(firsts, "id").join(large, "id", "left").select("band", "key", "id", "sig", F.coalesce("large", F.lit(0).cast("long")).alias("large"))
-    small = small.repartition("band", "key").sortWithinPartitions("band", "key", "id").mapInArrow(_small_buckets(screen(threshold)), "x long, y long")
+    small = small.repartition("band", "key").sortWithinPartitions("band", "key", "id").mapInArrow(give_back(_small_buckets(screen(threshold))), "x long, y long")
     stars = cut(_near_stars(cut(_stars(shared.where(F.col("members") > SMALL), shared)), firsts, threshold))
     pairs = cut(small.unionByName(stars.select(F.least("id", "centre").alias("x"), F.greatest("id", "centre").alias("y"))).distinct())
     links = cut(confirmed(pairs, corpus, threshold))

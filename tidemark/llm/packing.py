@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from .common import TextBlock, cut, text_blocks
+from .common import TextBlock, cut, give_back, text_blocks
 
 CAPACITY, END_ID = 1024, 2
 #: Salts a length at least, and rows that share a length and a salt before there are more salts.
@@ -174,7 +174,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_
     """doc_id, piece, start, length, ids_crc32 (and ids: binary, little-endian uint32)."""
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_tokenise(tokenizer_path, capacity, with_ids), schema)
+    return rows.mapInArrow(give_back(_tokenise(tokenizer_path, capacity, with_ids)), schema)
 
 
 # --- the plan ---------------------------------------------------------------------------------------------------------
