@@ -33,4 +33,4 @@ def query(sql: str | None = None, name: str | None = None):
     return register
 
 
-from . import analytics, relational, replays, timeseries, versions, windows  # noqa: E402, F401
+from . import analytics, engine, relational, replays, timeseries, versions, windows  # noqa: E402, F401

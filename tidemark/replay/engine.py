@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from .book import LevelBook
 
 SCALE = 1_000_000_000
+#: States in which an order may still do something.
+OPEN = ("pending", "resting", "waiting", "twap")
 
 
 def notional(price: int, quantity: int) -> int:
@@ -97,9 +101,9 @@ class Run:
         self.marks: dict[str, int] = {}
         self.positions: dict[str, Position] = {}
         self.orders: dict[str, Order] = {}
+        self.live: dict[str, Order] = {}  # the open ones: a step looks at no others
         self.fills: list[dict] = []
         self.equity_curve: list[dict] = []
-        self._pending: list[tuple[int, str, dict]] = []
         self._sampled: int | None = None
 
     # --- orders ---------------------------------------------------------------------------------------------------
@@ -115,10 +119,12 @@ class Run:
             order.status = "waiting"
         else:
             order.status = "pending"
+        if order.status in OPEN:
+            self.live[order.id] = order
 
     def cancel(self, order_id: str) -> None:
         o = self.orders.get(order_id)
-        if o and o.status in ("pending", "resting", "waiting", "twap"):
+        if o and o.status in OPEN:
             o.status = "cancelled"
 
     def amend(self, order_id: str, quantity: int | None = None, limit: int | None = None) -> None:
@@ -203,7 +209,7 @@ class Run:
     def step(self, e: dict) -> None:
         self.now = e["ts_init"]
         kind, name = e["kind"], e.get("instrument_id")
-        for o in self.orders.values():
+        for o in self.live.values():
             if o.expires is not None and o.expires <= self.now and o.status in ("pending", "resting", "waiting"):
                 o.status, o.reason = "expired", "time"
         book = self.books.setdefault(name, LevelBook()) if name else LevelBook()
@@ -222,12 +228,12 @@ class Run:
             self._corporate(name, e)
         if kind == "trade":
             self._queue_fills(name, e)
-        for o in list(self.orders.values()):
+        for o in list(self.live.values()):
             if o.status == "resting" and o.instrument == name and kind in ("snapshot", "delta"):
                 for price, q in book.walk(o.side, self._clamp(o), o.limit):
                     self._fill(o, min(price, o.limit) if o.side == "buy" else max(price, o.limit), q, False)
         self._liquidate()
-        for o in list(self.orders.values()):
+        for o in list(self.live.values()):
             mark = self.marks.get(o.instrument)
             if o.status == "waiting" and mark is not None and o.live_at <= self.now and (mark >= o.trigger if o.trigger_above else mark <= o.trigger):
                 o.status = "pending"
@@ -237,9 +243,11 @@ class Run:
             self.strategy(self, e)
         if kind == "command":
             self._command(e)
-        for o in list(self.orders.values()):
+        for o in list(self.live.values()):
             if o.status == "pending" and o.live_at <= self.now:
                 self._arrive(o)
+        for o in [o for o in self.live.values() if o.status not in OPEN]:
+            del self.live[o.id]
         if self._sampled is None or self.now - self._sampled >= self.c.sample:
             self._sampled = self.now
             self.equity_curve.append({"ts": self.now, "cash": self.cash, "position_value": self.exposure(), "equity": self.equity()})
@@ -257,7 +265,7 @@ class Run:
 
     def _queue_fills(self, name: str, e: dict) -> None:
         """A print first consumes what stands ahead of a resting order, then fills it at its own limit."""
-        for o in self.orders.values():
+        for o in self.live.values():
             if o.status != "resting" or o.instrument != name or e.get("aggressor") == o.side:
                 continue
             through = e["price"] < o.limit if o.side == "buy" else e["price"] > o.limit
@@ -269,17 +277,35 @@ class Run:
                     self._fill(o, o.limit, q, False)
 
     def _corporate(self, name: str, e: dict) -> None:
+        if e["action"] == "split":
+            self._split(name, e["ratio"])
         p = self.positions.get(name)
         if not p or not p.quantity:
             return
-        if e["action"] == "split":
-            p.quantity, p.average = round(p.quantity * e["ratio"]), round(p.average / e["ratio"])
-        elif e["action"] == "dividend":
+        if e["action"] == "dividend":
             self.cash += (paid := notional(e["per_share"], p.quantity))
             p.realized += paid
         elif e["action"] == "delist":
             self._fill(Order("delist", name, "sell" if p.quantity > 0 else "buy", abs(p.quantity)), e["final_price"], abs(p.quantity), False)
 
+    def _split(self, name: str, ratio: float) -> None:
+        """Sizes grow and prices shrink by the ratio: of the position, the mark, the book and all open orders."""
+        grow, shrink = lambda x: round(x * ratio), lambda x: None if x is None else round(x / ratio)
+        if p := self.positions.get(name):
+            p.quantity, p.average = grow(p.quantity), shrink(p.average)
+        if name in self.marks:
+            self.marks[name] = shrink(self.marks[name])
+        if book := self.books.get(name):
+            for levels in (book.bids, book.asks):
+                old = list(levels.items())
+                levels.clear()
+                for price, size in old:  # prices may meet after rounding
+                    levels[shrink(price)] = levels.get(shrink(price), 0) + grow(size)
+        for o in self.live.values():
+            if o.instrument == name:
+                o.quantity, o.filled, o.ahead = grow(o.quantity), grow(o.filled), grow(o.ahead)
+                o.limit, o.trigger = shrink(o.limit), shrink(o.trigger)
+
     def _liquidate(self) -> None:
         gross = sum(abs(notional(self.marks.get(n, p.average), p.quantity)) for n, p in self.positions.items())
         if self.c.maintenance and gross and self.equity() < self.c.maintenance * gross:
@@ -306,27 +332,76 @@ class Run:
         return self.cash + self.exposure()
 
 
-FILLS = "run_id string, ts long, order_id string, instrument_id string, side string, price long, quantity long, commission long, is_taker boolean"
-EQUITY = "run_id string, ts long, cash long, position_value long, equity long"
-SUMMARY = "run_id string, starting_cash long, final_cash long, equity long, realized_pnl long, commissions long, records long, fills long, rejected long"
+TABLES = {
+    "summary": "run_id string, starting_cash long, final_cash long, equity long, realized_pnl long, commissions long, records long, fills long, rejected long",
+    "fills": "run_id string, ts long, order_id string, instrument_id string, side string, price long, quantity long, commission long, is_taker boolean",
+    "equity": "run_id string, ts long, cash long, position_value long, equity long",
+    "positions": "run_id string, instrument_id string, quantity long, average long, realized long, commissions long",
+    "orders": "run_id string, order_id string, instrument_id string, side string, quantity long, filled long, status string, reason string",
+}
 
 
-def simulate(events: DataFrame, configs: dict[str, Config], output: str = "summary", strategy: Callable | None = None) -> DataFrame:
-    """events: run_id, ts_init, priority, stream, arrival and what Run.step reads; a row a run, or its fills or equity.
+def _drain(key: str, r: Run) -> dict[str, list[dict]]:
+    """The fills and samples since the last call."""
+    out = {"fills": [{"run_id": key} | f for f in r.fills], "equity": [{"run_id": key} | f for f in r.equity_curve]}
+    r.fills, r.equity_curve = [], []
+    return out
 
-    A run's events are folded in order by one task; a study's trials are as many runs.
-    """
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        r = Run(configs[key[0]], strategy)
-        rows = pdf.sort_values(["ts_init", "priority", "stream", "arrival"], kind="stable").drop(columns=["run_id"]).astype(object)
-        for e in rows.where(rows.notna(), None).to_dict("records"):
-            r.step(e)
-        if output == "fills":
-            return pd.DataFrame([{"run_id": key[0]} | f for f in r.fills], columns=[x.split()[0] for x in FILLS.split(", ")])
-        if output == "equity":
-            return pd.DataFrame([{"run_id": key[0]} | f for f in r.equity_curve], columns=[x.split()[0] for x in EQUITY.split(", ")])
-        p = r.positions.values()
-        return pd.DataFrame([{"run_id": key[0], "starting_cash": r.c.cash, "final_cash": r.cash, "equity": r.equity(), "realized_pnl": sum(x.realized for x in p), "commissions": sum(x.commissions for x in p), "records": len(pdf), "fills": len(r.fills), "rejected": sum(o.status == "rejected" for o in r.orders.values())}])
-
-    return events.groupBy("run_id").applyInPandas(run, {"summary": SUMMARY, "fills": FILLS, "equity": EQUITY}[output])
+def _finish(key: str, r: Run, records: int, fills: int) -> dict[str, list[dict]]:
+    p = r.positions
+    summary = {"starting_cash": r.c.cash, "final_cash": r.cash, "equity": r.equity(), "records": records, "fills": fills}
+    summary |= {"realized_pnl": sum(x.realized for x in p.values()), "commissions": sum(x.commissions for x in p.values())}
+    summary["rejected"] = sum(o.status == "rejected" for o in r.orders.values())
+    return {
+        "summary": [{"run_id": key} | summary],
+        "positions": [{"run_id": key, "instrument_id": n} | vars(x) for n, x in p.items()],
+        "orders": [{"run_id": key, "order_id": o.id, "instrument_id": o.instrument} | {k: getattr(o, k) for k in ("side", "quantity", "filled", "status", "reason")} for o in r.orders.values()],
+    }
+
+
+def simulate(events: DataFrame, configs: Config | dict[str, Config], output: str = "summary", strategy: Callable | None = None) -> DataFrame:
+    """events: run_id, ts_init, priority, stream, arrival and what Run.step reads; configs: one for all runs, or by run.
+
+    output names one of TABLES, or is "all": then rows of every table come from one replay, told apart by the column
+    `output` (run_table picks one; write the whole before reading it more than once). A run is folded in order by one task that
+    streams its events and gives fills and samples away batch by batch: it holds the run's books, positions and orders. A study's
+    trials are as many runs.
+    """
+    wanted = list(TABLES) if output == "all" else [output]
+    fields = {f.name: f for t in wanted for f in StructType.fromDDL(TABLES[t]).fields}
+    schema = StructType([*(StructType.fromDDL("output string").fields if output == "all" else []), *fields.values()])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        key, r, records, fills = None, None, 0, 0
+        for batch in batches:
+            rows = []
+
+            def give(tables):
+                rows.extend({"output": t} | x for t in wanted for x in tables.get(t, ()))
+
+            for e in batch.to_pylist():
+                if r is None or e["run_id"] != key:
+                    if r is not None:
+                        fills += len(r.fills)
+                        give(_drain(key, r) | _finish(key, r, records, fills))
+                    key, records, fills = e["run_id"], 0, 0
+                    r = Run(configs if isinstance(configs, Config) else configs[key], strategy)
+                r.step(e)
+                records += 1
+            if r is not None:
+                fills += len(r.fills)
+                give(_drain(key, r))
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+        if r is not None:
+            rows = [{"output": t} | x for t, xs in _finish(key, r, records, fills).items() if t in wanted for x in xs]
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    ordered = events.repartition("run_id").sortWithinPartitions("run_id", "ts_init", "priority", "stream", "arrival")
+    return ordered.mapInArrow(run, schema)
+
+
+def run_table(replayed: DataFrame, name: str) -> DataFrame:
+    """One of TABLES out of simulate(..., "all")."""
+    return replayed.where(F.col("output") == name).select(*StructType.fromDDL(TABLES[name]).names)
