@@ -3,7 +3,7 @@ import math
 import numpy as np
 import pytest
 
-from tidemark.quant import checks as C, perf as P
+from tidemark.quant import checks as C, perf as P, splits as S
 
 
 def test_perf_against_numpy(spark):
@@ -26,13 +26,27 @@ def test_drawdowns(spark):
     assert P.stats(total_loss).first()["cumulative"] == -1
 
 
-def test_splits():
-    for train, test in C.purged_kfold(100, 5, purge=2, embargo=3):
-        lo, hi = test[0], test[-1]
-        assert all(i < lo - 2 or i > hi + 5 for i in train)
-    assert len(list(C.combinatorial_purged(60, 6, 2))) == 15
-    for train, test in C.walk_forward(50, 20, 10, embargo=2):
-        assert train[-1] == test[0] - 3 and len(test) == 10
+def test_splits(spark):
+    bars = spark.createDataFrame([(i, 3 if i % 2 else None) for i in range(60)], "place long, horizon int")
+    roles = {(r["fold"], r["place"]): r["role"] for r in S.purged_kfold(bars, 60, 5, 0.05).collect()}
+    assert len(roles) == 300
+    for k in range(5):
+        lo, hi = 12 * k, 12 * k + 12
+        for i in range(60):
+            touched = i < hi and i + (3 if i % 2 else 0) >= lo
+            assert roles[k, i] == ("test" if lo <= i < hi else "purged" if hi <= i < hi + 3 or touched else "train")
+    assert S.combinatorial_purged(bars, 60, 6, 2).select("fold").distinct().count() == 15
+    for expanding in (False, True):
+        rows = S.walk_forward(bars, 60, 20, 10, 5, 0.1, expanding).collect()
+        for k in range(7):
+            mine = {r["place"]: r["role"] for r in rows if r["fold"] == k}
+            first = 5 * k + 20
+            assert sorted(mine) == list(range(0 if expanding else 5 * k, first + 10))
+            assert all((r == "test") == (p >= first) and (r == "purged") == (p < first and (p >= first - 3 or p + 3 * (p % 2) >= first)) for p, r in mine.items())
+        assert max(r["fold"] for r in rows) == 6
+    assert S.walk_forward(bars, 60, 60, 10).count() == 0
+    with pytest.raises(ValueError):
+        S.purged_kfold(bars, 60, 5, 1.0)
 
 
 def test_overfitting(spark):

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from ..quant import checks, factor, perf
+from ..quant import checks, factor, perf, splits
 from .registry import Tables, query
 
 _PRICES = """WITH p AS (SELECT strftime(ts, '%Y-%m-%d') AS date, event_type || (user_id % 4) AS asset, last(value ORDER BY ts, event_id) + 1 AS price, first(value ORDER BY ts, event_id) AS factor FROM events GROUP BY 1, 2), """
@@ -147,3 +147,43 @@ def effective_spread(t: Tables):
     return checks.effective_spread(fills).select(F.round("spread", 6).alias("spread"))
 
 
+
+
+# --- losses on the way to a panel, and validation splits ---------------------------------------------------------------
+
+@query(_PANEL + """c AS (SELECT (SELECT count(*) FROM p) AS initial, (SELECT count(*) FROM panel) AS kept)
+    SELECT initial, kept AS after_forward_returns, kept AS after_binning, round(1 - kept / initial, 9) AS forward_returns, 0.0::DOUBLE AS binning, round(1 - kept / initial, 9) AS total FROM c""")
+def factor_losses(t: Tables):
+    p = _prices(t)
+    report = factor.loss_report(p.select("date", "asset", "price"), p.select("date", "asset", "factor"), (1, 5), 4)
+    return report.select(*(F.col(c) if "after" in c or c == "initial" else F.round(c, 9).alias(c) for c in report.columns))
+
+
+#: A bar for each date that has orders; labels look 0 to 6 bars ahead.
+_DAYS = """WITH d AS (SELECT DISTINCT o_orderdate AS day FROM orders), b AS (SELECT row_number() OVER (ORDER BY day) - 1 AS place, (row_number() OVER (ORDER BY day) - 1) % 7 AS h FROM d), n AS (SELECT count(*) AS n FROM b), """
+
+
+def _days(t: Tables):
+    days = t.orders.select("o_orderdate").distinct()
+    bars = days.select((F.row_number().over(Window.orderBy("o_orderdate")) - 1).cast("long").alias("place"))
+    return bars.withColumn("horizon", F.col("place") % 7), days.count()
+
+
+@query(_DAYS + """k AS (SELECT k, round_even(k * n / 5.0, 0) AS lo, round_even((k + 1) * n / 5.0, 0) AS hi, round_even(n * 0.01::DOUBLE, 0) AS w FROM n, range(5) r(k))
+    SELECT k AS fold, place, CASE WHEN place >= lo AND place < hi THEN 'test' WHEN (place >= hi AND place < hi + w) OR (place < hi AND place + h >= lo) THEN 'purged' ELSE 'train' END AS role FROM b, k""")
+def split_kfold(t: Tables):
+    return splits.purged_kfold(*_days(t), folds=5, embargo=0.01)
+
+
+@query(_DAYS + """g AS (SELECT k, round_even(k * n / 6.0, 0) AS lo, round_even((k + 1) * n / 6.0, 0) AS hi, round_even(n * 0.01::DOUBLE, 0) AS w FROM n, range(6) r(k)),
+    k AS (SELECT row_number() OVER (ORDER BY x.k, y.k) - 1 AS fold, x.lo AS a, x.hi AS b, y.lo AS c, y.hi AS d, x.w FROM g x JOIN g y ON x.k < y.k)
+    SELECT fold, place, CASE WHEN (place >= a AND place < k.b) OR (place >= c AND place < d) THEN 'test'
+        WHEN (place >= k.b AND place < k.b + w) OR (place >= d AND place < d + w) OR (place < d AND place + h >= a) THEN 'purged' ELSE 'train' END AS role FROM b, k""")
+def split_combinatorial(t: Tables):
+    return splits.combinatorial_purged(*_days(t), groups=6, test_groups=2, embargo=0.01)
+
+
+@query(_DAYS + """k AS (SELECT k, k * 50 AS lo, k * 50 + 400 AS first FROM n, range(((n - 500) // 50 + 1)::BIGINT) r(k))
+    SELECT k AS fold, place, CASE WHEN place >= first THEN 'test' WHEN place >= first - 25 OR place + h >= first THEN 'purged' ELSE 'train' END AS role FROM b JOIN k ON place >= lo AND place < first + 100""")
+def split_walk_forward(t: Tables):
+    return splits.walk_forward(*_days(t), train=400, test=100, step=50, embargo=0.05)

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..session import scratch
-from ..sources.catalog import Catalog, CatalogError, arrival_delta as delta_, violations
+from ..sources.catalog import Catalog, CatalogError, arrival_delta as delta_, arrival_report as report_, violations
 from .registry import Tables, query
 
 _CUTS = (datetime(1996, 1, 1), datetime(1997, 1, 1))
@@ -171,3 +171,12 @@ def file_round_trip(t: Tables):
     folder = f"{scratch(t.spark)}/files-{uuid.uuid4().hex}/events.csv"
     t.events.select("event_id", "user_id", "value").write.option("header", True).csv(folder)
     return t.spark.read.option("header", True).schema("event_id long, user_id long, value double").csv(folder)
+
+
+@query(f"""SELECT a.n AS head_rows, b.n AS asof_rows, a.n <> b.n AS row_count_differs, true AS changed, false AS vacuous FROM (SELECT count(DISTINCT year(o_orderdate)) AS n FROM orders) a, (SELECT count(DISTINCT year(o_orderdate)) AS n FROM orders WHERE {_V2}) b
+    UNION ALL SELECT count(DISTINCT year(o_orderdate)), count(DISTINCT year(o_orderdate)), false, false, true FROM orders""")
+def arrival_report(t: Tables):
+    """Head against version 2, which lacks one commit, and against itself."""
+    c = _catalog(t)
+    by_year = lambda v: c.table("orders", version=v).groupBy(F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    return report_(by_year(3), by_year(2), ["y"], 1).unionByName(report_(by_year(3), by_year(3), ["y"], 0))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import itertools
 import math
-from collections.abc import Iterator
 from statistics import NormalDist
 
 from pyspark.sql import DataFrame, functions as F
@@ -118,28 +117,3 @@ def probability_of_overfitting(returns: DataFrame, blocks: int = 8) -> float:
         rank = (sum(x < after[best] for x in after.values()) + (sum(x == after[best] for x in after.values()) + 1) / 2) / (len(after) + 1)
         low, total = low + (rank < 0.5), total + 1
     return low / total if total else math.nan
-
-
-# --- validation: splits of n ordered bars -----------------------------------------------------------------------------
-
-def purged_kfold(n: int, folds: int, purge: int = 0, embargo: int = 0) -> Iterator[tuple[list[int], list[int]]]:
-    """Train and test places; training leaves out `purge` bars on either side of the test, and `embargo` more after it."""
-    for k in range(folds):
-        lo, hi = n * k // folds, n * (k + 1) // folds
-        yield [i for i in range(n) if i < lo - purge or i >= hi + purge + embargo], list(range(lo, hi))
-
-
-def combinatorial_purged(n: int, folds: int, tests: int, purge: int = 0, embargo: int = 0) -> Iterator[tuple[list[int], list[int]]]:
-    edges = [(n * k // folds, n * (k + 1) // folds) for k in range(folds)]
-    for chosen in itertools.combinations(edges, tests):
-        test = [i for lo, hi in chosen for i in range(lo, hi)]
-        yield [i for i in range(n) if all(i < lo - purge or i >= hi + purge + embargo for lo, hi in chosen)], test
-
-
-def walk_forward(n: int, train: int, test: int, embargo: int = 0, expanding: bool = False) -> Iterator[tuple[list[int], list[int]]]:
-    """Windows that move on by the test's length; `embargo` bars between training and test stay unused."""
-    at = 0
-    while at + train + test <= n:
-        lo = 0 if expanding else at
-        yield list(range(lo, at + train - embargo)), list(range(at + train, at + train + test))
-        at += test

@@ -47,6 +47,33 @@ def build_panel(prices: DataFrame, signals: DataFrame, periods: tuple[int, ...]
     dates, then restricted to the factor's; beyond max_z of the asset's spread they become null; rows
     without a finite factor, all returns and a group are dropped.
     """
+    panel = _bucketed(prices, signals, periods, n, max_z, how, by_group, zero_aware)
+    if max_loss < 1:
+        lost = _losses(signals, panel).first()
+        if lost["total"] > max_loss:
+            raise LossTooHigh(f"{lost['total']:.1%} of rows were lost ({lost['forward_returns']:.1%} to returns, {lost['binning']:.1%} to buckets), {max_loss:.1%} are allowed")
+    return panel.where("bucket is not null")
+
+
+def loss_report(prices: DataFrame, signals: DataFrame, periods: tuple[int, ...] = (1, 5, 10), n: int = 5, max_z: float | None = 20, how: str = "quantile", by_group: bool = False, zero_aware: bool = False) -> DataFrame:
+    """One row: initial, after_forward_returns and after_binning count rows; forward_returns, binning and total are shares lost."""
+    return _losses(signals, _bucketed(prices, signals, periods, n, max_z, how, by_group, zero_aware))
+
+
+def _losses(signals: DataFrame, panel: DataFrame) -> DataFrame:
+    given = signals.select(F.lit(1).alias("i"), F.lit(0).alias("r"), F.lit(0).alias("b"))
+    kept = panel.select(F.lit(0), F.lit(1), F.col("bucket").isNotNull().cast("int"))
+    counts = given.union(kept).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in "irb"))
+    share = lambda x: F.when(F.col("i") > 0, x / F.col("i")).otherwise(F.lit(0.0))
+    total, returns = share(F.col("i") - F.col("b")), share(F.col("i") - F.col("r"))
+    return counts.select(
+        F.col("i").alias("initial"), F.col("r").alias("after_forward_returns"), F.col("b").alias("after_binning"),
+        returns.alias("forward_returns"), (total - returns).alias("binning"), total.alias("total"),
+    )
+
+
+def _bucketed(prices: DataFrame, signals: DataFrame, periods: tuple[int, ...], n: int, max_z: float | None, how: str, by_group: bool, zero_aware: bool) -> DataFrame:
+    """The panel before rows without a bucket go."""
     fwd = [f"fwd_{p}" for p in periods]
     r = forward_returns(prices.join(signals.select("asset").distinct(), "asset", "left_semi"), periods)
     r = r.join(signals.select("date").distinct(), "date", "left_semi")
@@ -58,12 +85,7 @@ def build_panel(prices: DataFrame, signals: DataFrame, periods: tuple[int, ...]
     ok = clean(F.col("factor")).isNotNull() & (F.abs("factor") < float("inf"))
     for c in [*fwd, *(["group"] if "group" in signals.columns else [])]:
         ok = ok & F.col(c).isNotNull()
-    panel = buckets(r.join(signals, ["date", "asset"]).where(ok), n, how, by_group, zero_aware).where("bucket is not null")
-    if max_loss < 1:
-        initial, final = signals.count(), panel.count()
-        if initial and 1 - final / initial > max_loss:
-            raise LossTooHigh(f"{1 - final / initial:.1%} of rows were lost, {max_loss:.1%} are allowed")
-    return panel
+    return buckets(r.join(signals, ["date", "asset"]).where(ok), n, how, by_group, zero_aware)
 
 
 def information_coefficient(panel: DataFrame, period: int) -> DataFrame:
