@@ -3,6 +3,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidemark.functions import aggregates as A, windows as W
 from tidemark.functions.time import parse_width, time_bucket
 from tidemark.functions.values import int_div, is_in, log_growth
@@ -10,6 +11,7 @@ from tidemark.operators.asof import asof_join
 from tidemark.operators.bars import latest_on, ohlcv
 from tidemark.operators.ewma import ewma
 from tidemark.operators.gapfill import gapfill
+from tidemark.operators.rolling import rolling_duration
 
 
 def values(df, *cols):
@@ -25,6 +27,21 @@ def test_rolling_golden_values(spark):
     assert [r[0] for r in values(df.orderBy("t"), W.idxmax(x, W.frame((), "t", rows=3)).alias("i"))] == [1, 2, 3, 3, 3]
 
 
+def test_rolling_duration_is_linear(spark):
+    """Frames over slices, ties, gaps, nulls and rows without a time equal brute force; no window slides over a frame."""
+    rows = [(i, "ab"[i % 2], i * 7 % 40 * 3 if i % 11 else None, [1.0, None, float("nan"), 2.5][i % 4] if i % 3 else float(i)) for i in range(120)]
+    df = spark.createDataFrame(rows, "id int, k string, s int, x double").withColumn("ts", F.timestamp_seconds("s"))
+    out = rolling_duration(df, "x", "ts", "10s", ["k"])
+    got = {r["id"]: (r["total"], r["count"], r["rows"]) for r in out.collect()}
+    for i, k, s, _ in rows:
+        inside = [x for _, k2, s2, x in rows if k2 == k and (s2 is None if s is None else s2 is not None and s - 10 <= s2 <= s)]
+        known = [x for x in inside if x is not None and x == x]
+        assert got[i] == (pytest.approx(sum(known)) if known else None, len(known), len(inside))
+    assert len(got) == len(rows)
+    plan = entry.queries()["rolling_duration"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "RangeFrame" in plan and "RangeFrame, -" not in plan
+
+
 def test_ts_rank_falls(spark):
     df = spark.createDataFrame([(i, float(x)) for i, x in enumerate([4, 3, 2, 1])], "t int, x double")
     got = [r[1] for r in sorted(values(df, "t", W.ts_rank(F.col("x"), W.frame((), "t", rows=3)).alias("r")))]
