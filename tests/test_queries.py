@@ -53,5 +53,11 @@ def test_oracle(spark, duck, name):
     assert [(x, y) for x, y in zip(a, b, strict=True) if not all(map(same, x, y))] == []
 
 
+def test_one_sketch_a_type(spark):
+    """A sketch of 13 KB beside a DISTINCT would be kept for each user."""
+    plan = entry.queries()["approx_distinct"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert [x for x in plan.splitlines() if "approx_count_distinct" in x and "user_id" in x.split("functions=")[0]] == []
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0

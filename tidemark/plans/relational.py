@@ -149,8 +149,9 @@ def median_quantile(t: Tables):
 
 @query("SELECT event_type, abs(count(DISTINCT user_id) - count(DISTINCT user_id)) <= 0.05 * count(DISTINCT user_id) AS near_exact FROM events GROUP BY 1")
 def approx_distinct(t: Tables):
-    exact, approx = F.count_distinct("user_id"), F.approx_count_distinct("user_id", 0.01)
-    return t.events.groupBy("event_type").agg((F.abs(exact - approx) <= 0.05 * exact).alias("near_exact"))
+    # Of distinct pairs, which leave both counts as they are: beside a DISTINCT each user's group would hold a sketch of its own.
+    exact, approx = F.count("user_id"), F.approx_count_distinct("user_id", 0.01)
+    return t.events.select("event_type", "user_id").distinct().groupBy("event_type").agg((F.abs(exact - approx) <= 0.05 * exact).alias("near_exact"))
 
 
 @query("SELECT user_id, first(value ORDER BY ts, event_id) AS f, last(value ORDER BY ts, event_id) AS l FROM events GROUP BY 1")
