@@ -1,7 +1,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tidemark.replay import streams as R
 from tidemark.replay.book import LevelBook, OrderBook
 from tidemark.replay.engine import SCALE, Config, Order, Position, Run, notional, simulate
@@ -85,3 +87,18 @@ def test_streams(spark):
         R.from_signals(spark.createDataFrame([(1, "X", True, True)], "ts int, instrument_id string, entry boolean, exit boolean")).collect()
     got = R.from_signals(spark.createDataFrame([(1, "X", True, False), (2, "X", False, False), (3, "X", False, True)], "ts int, instrument_id string, entry boolean, exit boolean"))
     assert sorted(tuple(r) for r in got.collect()) == [(1, "X", 1.0), (3, "X", -1.0)]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_places_need_no_single_task(spark):
+    rows = [(i * 37 % 11 if i % 9 else None, i) for i in range(60)]
+    s = spark.createDataFrame(rows, "ts_init long, arrival long").withColumn("kind", F.lit("trade"))
+    f = s.where("arrival % 2 = 0").withColumn("kind", F.lit("funding"))
+    out = R.placed([s, f], 4, check=False)
+    want = [(*r[:4], i + 1) for i, r in enumerate(R.merge([s, f], check=False).collect())]
+    assert sorted((tuple(r)[:4] + (r["place"],) for r in out.collect()), key=lambda r: r[-1]) == want
+    for line in plan(entry.queries()["replay_merge"](spark, "/root/testdata/sf0.001")).splitlines():
+        assert "row_number" not in line or "Window" not in line or "__slice" in line
