@@ -102,3 +102,13 @@ def test_places_need_no_single_task(spark):
     assert sorted((tuple(r)[:4] + (r["place"],) for r in out.collect()), key=lambda r: r[-1]) == want
     for line in plan(entry.queries()["replay_merge"](spark, "/root/testdata/sf0.001")).splitlines():
         assert "row_number" not in line or "Window" not in line or "__slice" in line
+
+
+def test_members_are_counted_without_pairs(spark):
+    spans = [(i % 7 if i % 6 else None, i * 5 % 50 - 20, i * 5 % 50 - 20 + i % 23 - 2) for i in range(80)]
+    registry = spark.createDataFrame(spans, "symbol long, start long, end long")
+    moments = spark.createDataFrame([(i - 30,) for i in range(90)] + [(3,), (3,), (None,)], "t long")
+    pairs = R.members_at(registry.where("start < end"), moments, 8).groupBy("t").agg(F.count(F.lit(1)).alias("members"), F.sum("symbol").alias("total"))
+    got = R.members_total(registry, moments, "symbol", 8)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect()))
+    assert "Join" not in plan(entry.queries()["universe_asof"](spark, "/root/testdata/sf0.001"))
