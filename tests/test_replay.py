@@ -112,3 +112,29 @@ def test_members_are_counted_without_pairs(spark):
     got = R.members_total(registry, moments, "symbol", 8)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect()))
     assert "Join" not in plan(entry.queries()["universe_asof"](spark, "/root/testdata/sf0.001"))
+
+
+def test_a_run_holds_open_orders_only(spark):
+    """Closed orders leave with their batch, in rows and counts; an open one stays, and an id may come again."""
+
+    def watch(run, e):
+        if len(run.orders) > 30:
+            raise ValueError(f"{len(run.orders)} orders are held")
+
+    def order(t, **more):
+        return json.dumps({"id": str(t % 200), "instrument": "X", "side": "buy", "quantity": SCALE} | more)
+
+    orders = [(t, order(t, reduce_only=t % 2 == 0)) for t in range(1, 400)] + [(0, order(1000, id="open", kind="limit", limit=5 * SCALE))]
+    events = [("r", -1, 20, 0, 0, "snapshot", "sell", 9 * SCALE, 500 * SCALE, "X", None)] + [("r", t, 20, 0, t, "command", None, None, None, None, c) for t, c in orders]
+    df = spark.createDataFrame(events, "run_id string, ts_init long, priority int, stream int, arrival long, kind string, side string, price long, size long, instrument_id string, command string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        rows = simulate(df, Config(), "all", watch).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    done = [r["status"] for r in rows if r["output"] == "orders"]
+    # Even ones reduce a long position with a buy, and are refused; odd ones fill.
+    assert {s: done.count(s) for s in set(done)} == {"filled": 200, "rejected": 199, "resting": 1}
+    [summary] = [r for r in rows if r["output"] == "summary"]
+    assert (summary["records"], summary["fills"], summary["rejected"]) == (401, 200, 199)
+    assert len([r for r in rows if r["output"] == "fills"]) == 200 and len([r for r in rows if r["output"] == "equity"]) == 401

@@ -44,7 +44,7 @@ class LevelBook:
 
     @property
     def mid(self) -> float | None:
-        return (self.bid + self.ask) / 2 if self.bid is not None and self.ask is not None else None
+        return (max(self.bids) + min(self.asks)) / 2 if self.bids and self.asks and not self.stale else None
 
     @property
     def spread(self) -> int | None:

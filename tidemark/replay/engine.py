@@ -28,7 +28,7 @@ def notional(price: int, quantity: int) -> int:
     return (abs(x) + SCALE // 2) // SCALE * (1 if x >= 0 else -1)
 
 
-@dataclass
+@dataclass(slots=True)
 class Order:
     id: str
     instrument: str
@@ -94,8 +94,8 @@ class Config:
 class Run:
     """One replay. A strategy is called as strategy(run, event) and may submit, cancel and amend."""
 
-    def __init__(self, config: Config, strategy: Callable | None = None):
-        self.c, self.strategy = config, strategy
+    def __init__(self, config: Config, strategy: Callable | None = None, samples: bool = True):
+        self.c, self.strategy, self.samples = config, strategy, samples
         self.cash, self.volume, self.now = config.cash, 0, 0
         self.books: dict[str, LevelBook] = {}
         self.marks: dict[str, int] = {}
@@ -105,6 +105,7 @@ class Run:
         self.fills: list[dict] = []
         self.equity_curve: list[dict] = []
         self._sampled: int | None = None
+        self.records = self.filled = self.rejected = 0  # of all that has been given away
 
     # --- orders ---------------------------------------------------------------------------------------------------
 
@@ -209,14 +210,18 @@ class Run:
     def step(self, e: dict) -> None:
         self.now = e["ts_init"]
         kind, name = e["kind"], e.get("instrument_id")
-        for o in self.live.values():
+        for o in self.live.values() if self.live else ():
             if o.expires is not None and o.expires <= self.now and o.status in ("pending", "resting", "waiting"):
                 o.status, o.reason = "expired", "time"
-        book = self.books.setdefault(name, LevelBook()) if name else LevelBook()
+        book = None
+        if name and (book := self.books.get(name)) is None:
+            book = self.books[name] = LevelBook()
+        elif not name:
+            book = LevelBook()
         if kind in ("snapshot", "delta", "gap"):
             book.apply(e.get("action") or kind, e.get("side"), e.get("price"), e.get("size"), bool(e.get("is_last", True)))
-            if book.mid is not None:
-                self.marks[name] = int(book.mid)
+            if (mid := book.mid) is not None:
+                self.marks[name] = int(mid)
         elif kind in ("trade", "bar", "reference"):
             self.marks[name] = e["price"]
         elif kind == "funding":
@@ -228,12 +233,14 @@ class Run:
             self._corporate(name, e)
         if kind == "trade":
             self._queue_fills(name, e)
-        for o in list(self.live.values()):
-            if o.status == "resting" and o.instrument == name and kind in ("snapshot", "delta"):
-                for price, q in book.walk(o.side, self._clamp(o), o.limit):
-                    self._fill(o, min(price, o.limit) if o.side == "buy" else max(price, o.limit), q, False)
-        self._liquidate()
-        for o in list(self.live.values()):
+        if kind in ("snapshot", "delta"):
+            for o in list(self.live.values()):
+                if o.status == "resting" and o.instrument == name:
+                    for price, q in book.walk(o.side, self._clamp(o), o.limit):
+                        self._fill(o, min(price, o.limit) if o.side == "buy" else max(price, o.limit), q, False)
+        if self.c.maintenance:
+            self._liquidate()
+        for o in list(self.live.values()) if self.live else ():
             mark = self.marks.get(o.instrument)
             if o.status == "waiting" and mark is not None and o.live_at <= self.now and (mark >= o.trigger if o.trigger_above else mark <= o.trigger):
                 o.status = "pending"
@@ -243,14 +250,15 @@ class Run:
             self.strategy(self, e)
         if kind == "command":
             self._command(e)
-        for o in list(self.live.values()):
-            if o.status == "pending" and o.live_at <= self.now:
-                self._arrive(o)
-        for o in [o for o in self.live.values() if o.status not in OPEN]:
-            del self.live[o.id]
-        if self._sampled is None or self.now - self._sampled >= self.c.sample:
+        if self.live:
+            for o in list(self.live.values()):
+                if o.status == "pending" and o.live_at <= self.now:
+                    self._arrive(o)
+            for o in [o for o in self.live.values() if o.status not in OPEN]:
+                del self.live[o.id]
+        if self.samples and (self._sampled is None or self.now - self._sampled >= self.c.sample):
             self._sampled = self.now
-            self.equity_curve.append({"ts": self.now, "cash": self.cash, "position_value": self.exposure(), "equity": self.equity()})
+            self.equity_curve.append({"ts": self.now, "cash": self.cash, "position_value": (held := self.exposure()), "equity": self.cash + held})
 
     def _twap(self, o: Order) -> None:
         size = -(-o.left // o.slices) if o.slices > 0 else 0
@@ -308,7 +316,7 @@ class Run:
 
     def _liquidate(self) -> None:
         gross = sum(abs(notional(self.marks.get(n, p.average), p.quantity)) for n, p in self.positions.items())
-        if self.c.maintenance and gross and self.equity() < self.c.maintenance * gross:
+        if gross and self.equity() < self.c.maintenance * gross:
             for n, p in self.positions.items():
                 if p.quantity:
                     o = Order(f"liquidation/{n}/{self.now}", n, "sell" if p.quantity > 0 else "buy", abs(p.quantity), tif="IOC", reduce_only=True)
@@ -341,65 +349,97 @@ TABLES = {
 }
 
 
-def _drain(key: str, r: Run) -> dict[str, list[dict]]:
-    """The fills and samples since the last call."""
-    out = {"fills": [{"run_id": key} | f for f in r.fills], "equity": [{"run_id": key} | f for f in r.equity_curve]}
-    r.fills, r.equity_curve = [], []
+_ORDER_FIELDS = ("side", "quantity", "filled", "status", "reason")
+
+
+def _given(key: str, r: Run, wanted: tuple[str, ...], done: bool) -> dict[str, list[dict]]:
+    """The fills, samples and closed orders since the last call, which the run then forgets; with done, all that is left."""
+    out = {}
+    if r.fills:
+        if "fills" in wanted:
+            out["fills"] = [{"run_id": key} | f for f in r.fills]
+        r.filled += len(r.fills)
+        r.fills = []
+    if r.equity_curve:
+        if "equity" in wanted:
+            out["equity"] = [{"run_id": key} | f for f in r.equity_curve]
+        r.equity_curve = []
+    closed = [o for o in r.orders.values() if done or o.status not in OPEN]
+    if closed:
+        if "orders" in wanted:
+            out["orders"] = [{"run_id": key, "order_id": o.id, "instrument_id": o.instrument} | {k: getattr(o, k) for k in _ORDER_FIELDS} for o in closed]
+        r.rejected += sum(o.status == "rejected" for o in closed)
+        r.orders = {} if len(closed) == len(r.orders) else {k: o for k, o in r.orders.items() if o.status in OPEN}
+    if done and "summary" in wanted:
+        p = r.positions
+        summary = {"starting_cash": r.c.cash, "final_cash": r.cash, "equity": r.equity(), "records": r.records, "fills": r.filled}
+        summary |= {"realized_pnl": sum(x.realized for x in p.values()), "commissions": sum(x.commissions for x in p.values()), "rejected": r.rejected}
+        out["summary"] = [{"run_id": key} | summary]
+    if done and "positions" in wanted:
+        out["positions"] = [{"run_id": key, "instrument_id": n} | vars(x) for n, x in r.positions.items()]
     return out
 
 
-def _finish(key: str, r: Run, records: int, fills: int) -> dict[str, list[dict]]:
-    p = r.positions
-    summary = {"starting_cash": r.c.cash, "final_cash": r.cash, "equity": r.equity(), "records": records, "fills": fills}
-    summary |= {"realized_pnl": sum(x.realized for x in p.values()), "commissions": sum(x.commissions for x in p.values())}
-    summary["rejected"] = sum(o.status == "rejected" for o in r.orders.values())
-    return {
-        "summary": [{"run_id": key} | summary],
-        "positions": [{"run_id": key, "instrument_id": n} | vars(x) for n, x in p.items()],
-        "orders": [{"run_id": key, "order_id": o.id, "instrument_id": o.instrument} | {k: getattr(o, k) for k in ("side", "quantity", "filled", "status", "reason")} for o in r.orders.values()],
-    }
+def _values(c: pa.Array) -> list:
+    """to_pylist, faster for numbers and for few different strings."""
+    if pa.types.is_integer(c.type):
+        numbers = c.fill_null(0).to_numpy().tolist()
+        return numbers if not c.null_count else [v if known else None for v, known in zip(numbers, c.is_valid().to_pylist(), strict=True)]
+    if pa.types.is_string(c.type) and len(c) and 4 * len((d := c.dictionary_encode()).dictionary) < len(c):
+        words = [*d.dictionary.to_pylist(), None]
+        return [words[k] for k in d.indices.fill_null(-1).to_numpy().tolist()]
+    return c.to_pylist()
 
 
-def simulate(events: DataFrame, configs: Config | dict[str, Config], output: str = "summary", strategy: Callable | None = None) -> DataFrame:
+def simulate(events: DataFrame, configs: Config | dict[str, Config], output: str = "summary", strategy: Callable | None = None, expand: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """events: run_id, ts_init, priority, stream, arrival and what Run.step reads; configs: one for all runs, or by run.
 
     output names one of TABLES, or is "all": then rows of every table come from one replay, told apart by the column
     `output` (run_table picks one; write the whole before reading it more than once). A run is folded in order by one task that
-    streams its events and gives fills and samples away batch by batch: it holds the run's books, positions and orders. A study's
-    trials are as many runs.
+    streams its events and gives fills, samples and closed orders away batch by batch: it holds the run's books, positions and open
+    orders. An order's id may come again once the order is closed; that is another order, with a row of its own. A study's trials are
+    as many runs.
+
+    With expand, events need run_id and any of the order's columns, and are what is dealt and sorted: expand then makes each task's
+    rows, still in order, into what Run.step reads, so that a sort holds no more than the rows given.
     """
-    wanted = list(TABLES) if output == "all" else [output]
+    wanted = tuple(TABLES) if output == "all" else (output,)
     fields = {f.name: f for t in wanted for f in StructType.fromDDL(TABLES[t]).fields}
     schema = StructType([*(StructType.fromDDL("output string").fields if output == "all" else []), *fields.values()])
     arrow = to_arrow_schema(schema)
+    samples = "equity" in wanted or strategy is not None
 
     def run(batches):
-        key, r, records, fills = None, None, 0, 0
-        for batch in batches:
-            rows = []
+        key, r = None, None
 
-            def give(tables):
-                rows.extend({"output": t} | x for t in wanted for x in tables.get(t, ()))
+        def rows(done):
+            given = _given(key, r, wanted, done)
+            return [{"output": t} | x for t in wanted for x in given.get(t, ())] if output == "all" else given.get(output, [])
 
-            for e in batch.to_pylist():
+        for batch in batches:
+            out, names = [], batch.schema.names
+            for e in zip(*map(_values, batch.columns), strict=True):
+                e = dict(zip(names, e, strict=True))
                 if r is None or e["run_id"] != key:
                     if r is not None:
-                        fills += len(r.fills)
-                        give(_drain(key, r) | _finish(key, r, records, fills))
-                    key, records, fills = e["run_id"], 0, 0
-                    r = Run(configs if isinstance(configs, Config) else configs[key], strategy)
+                        out += rows(True)
+                    key = e["run_id"]
+                    r = Run(configs if isinstance(configs, Config) else configs[key], strategy, samples)
                 r.step(e)
-                records += 1
+                r.records += 1
+                if len(out) >= 65_536:
+                    yield pa.RecordBatch.from_pylist(out, arrow)
+                    out = []
             if r is not None:
-                fills += len(r.fills)
-                give(_drain(key, r))
-            yield pa.RecordBatch.from_pylist(rows, arrow)
+                out += rows(False)
+            if out:
+                yield pa.RecordBatch.from_pylist(out, arrow)
         if r is not None:
-            rows = [{"output": t} | x for t, xs in _finish(key, r, records, fills).items() if t in wanted for x in xs]
-            yield pa.RecordBatch.from_pylist(rows, arrow)
+            yield pa.RecordBatch.from_pylist(rows(True), arrow)
 
-    ordered = events.repartition("run_id").sortWithinPartitions("run_id", "ts_init", "priority", "stream", "arrival")
-    return ordered.mapInArrow(run, schema)
+    order = [c for c in ("run_id", "ts_init", "priority", "stream", "arrival") if c in events.columns]
+    ordered = events.repartition("run_id").sortWithinPartitions(*order)
+    return (expand(ordered) if expand else ordered).mapInArrow(run, schema)
 
 
 def run_table(replayed: DataFrame, name: str) -> DataFrame:
