@@ -143,3 +143,8 @@ def test_a_run_holds_open_orders_only(spark):
 def test_takers_are_sorted_as_narrow_rows(spark):
     p = plan(entry.queries()["engine_summary"](spark, "/root/testdata/sf0.001"))
     assert 0 < p.index("Generate") < p.index("Sort")
+
+
+def test_queue_fills_read_and_deal_lines_once(spark):
+    p = plan(entry.queries()["engine_queue_fills"](spark, "/root/testdata/sf0.001"))
+    assert p.count("Exchange") == 1 and p.count("FileScan") == 1

@@ -94,8 +94,8 @@ class Config:
 class Run:
     """One replay. A strategy is called as strategy(run, event) and may submit, cancel and amend."""
 
-    def __init__(self, config: Config, strategy: Callable | None = None, samples: bool = True):
-        self.c, self.strategy, self.samples = config, strategy, samples
+    def __init__(self, config: Config, strategy: Callable | None = None, samples: bool = True, keeps_fills: bool = True, key: str | None = None):
+        self.c, self.strategy, self.samples, self.keeps_fills, self.key = config, strategy, samples, keeps_fills, key
         self.cash, self.volume, self.now = config.cash, 0, 0
         self.books: dict[str, LevelBook] = {}
         self.marks: dict[str, int] = {}
@@ -144,6 +144,8 @@ class Run:
         return 0 if book is None else (book.bids if o.side == "buy" else book.asks).get(price, 0)
 
     def _commission(self, price: int, quantity: int, taker: bool) -> int:
+        if self.c.fee == "none":
+            return 0
         value = notional(price, quantity)
         if self.c.fee == "proportional":
             return round(value * self.c.rate)
@@ -162,13 +164,17 @@ class Run:
         if taker:
             price += sign * self.c.slippage
         fee = self._commission(price, quantity, taker)
-        self.volume += notional(price, quantity)
-        self.positions.setdefault(o.instrument, Position()).fill(sign * quantity, price, fee)
-        self.cash -= sign * notional(price, quantity) + fee
+        self.volume += (value := notional(price, quantity))
+        if (p := self.positions.get(o.instrument)) is None:
+            p = self.positions[o.instrument] = Position()
+        p.fill(sign * quantity, price, fee)
+        self.cash -= sign * value + fee
         o.filled += quantity
         if o.left <= 0:
             o.status = "filled"
-        self.fills.append({"ts": self.now, "order_id": o.id, "instrument_id": o.instrument, "side": o.side, "price": price, "quantity": quantity, "commission": fee, "is_taker": taker})
+        self.filled += 1
+        if self.keeps_fills:
+            self.fills.append({"run_id": self.key, "ts": self.now, "order_id": o.id, "instrument_id": o.instrument, "side": o.side, "price": price, "quantity": quantity, "commission": fee, "is_taker": taker})
 
     def _clamp(self, o: Order) -> int:
         if not o.reduce_only:
@@ -208,17 +214,15 @@ class Run:
     # --- steps ----------------------------------------------------------------------------------------------------
 
     def step(self, e: dict) -> None:
-        self.now = e["ts_init"]
+        self.now = now = e["ts_init"]
         kind, name = e["kind"], e.get("instrument_id")
         for o in self.live.values() if self.live else ():
-            if o.expires is not None and o.expires <= self.now and o.status in ("pending", "resting", "waiting"):
+            if o.expires is not None and o.expires <= now and o.status in ("pending", "resting", "waiting"):
                 o.status, o.reason = "expired", "time"
-        book = None
-        if name and (book := self.books.get(name)) is None:
-            book = self.books[name] = LevelBook()
-        elif not name:
-            book = LevelBook()
+        if name and name not in self.books:
+            self.books[name] = LevelBook()
         if kind in ("snapshot", "delta", "gap"):
+            book = self.books[name] if name else LevelBook()
             book.apply(e.get("action") or kind, e.get("side"), e.get("price"), e.get("size"), bool(e.get("is_last", True)))
             if (mid := book.mid) is not None:
                 self.marks[name] = int(mid)
@@ -241,10 +245,11 @@ class Run:
         if self.c.maintenance:
             self._liquidate()
         for o in list(self.live.values()) if self.live else ():
-            mark = self.marks.get(o.instrument)
-            if o.status == "waiting" and mark is not None and o.live_at <= self.now and (mark >= o.trigger if o.trigger_above else mark <= o.trigger):
-                o.status = "pending"
-            if o.status == "twap" and o.live_at <= self.now:
+            if o.status == "waiting":
+                mark = self.marks.get(o.instrument)
+                if mark is not None and o.live_at <= now and (mark >= o.trigger if o.trigger_above else mark <= o.trigger):
+                    o.status = "pending"
+            elif o.status == "twap" and o.live_at <= now:
                 self._twap(o)
         if self.strategy is not None:
             self.strategy(self, e)
@@ -252,10 +257,10 @@ class Run:
             self._command(e)
         if self.live:
             for o in list(self.live.values()):
-                if o.status == "pending" and o.live_at <= self.now:
+                if o.status == "pending" and o.live_at <= now:
                     self._arrive(o)
-            for o in [o for o in self.live.values() if o.status not in OPEN]:
-                del self.live[o.id]
+            for k in [o.id for o in self.live.values() if o.status not in OPEN]:
+                del self.live[k]
         if self.samples and (self._sampled is None or self.now - self._sampled >= self.c.sample):
             self._sampled = self.now
             self.equity_curve.append({"ts": self.now, "cash": self.cash, "position_value": (held := self.exposure()), "equity": self.cash + held})
@@ -357,8 +362,7 @@ def _given(key: str, r: Run, wanted: tuple[str, ...], done: bool) -> dict[str, l
     out = {}
     if r.fills:
         if "fills" in wanted:
-            out["fills"] = [{"run_id": key} | f for f in r.fills]
-        r.filled += len(r.fills)
+            out["fills"] = r.fills
         r.fills = []
     if r.equity_curve:
         if "equity" in wanted:
@@ -407,7 +411,7 @@ def simulate(events: DataFrame, configs: Config | dict[str, Config], output: str
     fields = {f.name: f for t in wanted for f in StructType.fromDDL(TABLES[t]).fields}
     schema = StructType([*(StructType.fromDDL("output string").fields if output == "all" else []), *fields.values()])
     arrow = to_arrow_schema(schema)
-    samples = "equity" in wanted or strategy is not None
+    samples, keeps_fills = "equity" in wanted or strategy is not None, "fills" in wanted or strategy is not None
 
     def run(batches):
         key, r = None, None
@@ -424,7 +428,7 @@ def simulate(events: DataFrame, configs: Config | dict[str, Config], output: str
                     if r is not None:
                         out += rows(True)
                     key = e["run_id"]
-                    r = Run(configs if isinstance(configs, Config) else configs[key], strategy, samples)
+                    r = Run(configs if isinstance(configs, Config) else configs[key], strategy, samples, keeps_fills, key)
                 r.step(e)
                 r.records += 1
                 if len(out) >= 65_536:
